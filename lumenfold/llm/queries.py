@@ -5,14 +5,50 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lumenfold.llm import decontamination, toxicity
+from lumenfold.llm import chat_format, decontamination, language_id, piece_encoding, token_output, toxicity, url_filter, vector_search
 from lumenfold.llm.common import read_table
 
 
+def _sha256(text) -> F.Column:
+    return F.sha2(text.cast("binary"), 256)
+
+
 def op1_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = decontamination.find_contamination(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "benchmark"))
     items = F.array_sort("item_ids")
-    return found.select("doc_id", "n_words", "n_hit", F.size(items).cast("long").alias("n_items"), F.sha2(F.concat_ws(",", items).cast("binary"), 256).alias("items_sha256"), "contaminated")
+    return found.select("doc_id", "n_words", "n_hit", F.size(items).cast("long").alias("n_items"), _sha256(F.concat_ws(",", items)).alias("items_sha256"), "contaminated")
+
+
+def op3_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return url_filter.filter_urls(read_table(spark, sf_dir, "pages"))
+
+
+def op4_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read_table(spark, sf_dir, "documents")
+    return language_id.identify_language(docs, language_id.fit_language_model(docs))
+
+
+def op6_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    said = "</s>[INST] ok [/INST]"
+    kept = read_table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    own = spark.createDataFrame([(-7, 0, "user", said), (-7, 1, "assistant", said)], "conv_id long, turn long, role string, text string")
+    back = chat_format.chat_format(kept.unionByName(own))
+    lines = F.concat_ws("", F.transform("turns", lambda t: F.concat(t["role"], F.lit("\n"), t["text"], F.lit("\n"))))
+    return back.select("conv_id", F.size("turns").cast("long").alias("n_turns"), _sha256(lines).alias("turns_sha256"), F.length("loss_text").cast("long").alias("loss_chars"), _sha256(F.col("loss_text")).alias("loss_sha256"), "formatted_chars")
+
+
+def op7_token_output(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_output.token_output(read_table(spark, sf_dir, "documents"))
+
+
+def op8_piece_encoding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read_table(spark, sf_dir, "documents")
+    back = piece_encoding.decode_pieces(piece_encoding.encode_pieces(docs))
+    return back.select("doc_id", "n_tokens", "ids_crc32", F.length("text").cast("long").alias("n_chars"), _sha256(F.col("text")).alias("text_sha256"))
+
+
+def op9_vector_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vector_search.top_k(read_table(spark, sf_dir, "embeddings"))
 
 
 def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -22,7 +58,26 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op1_decontamination": op1_decontamination,
+    "op3_url_filter": op3_url_filter,
+    "op4_language_id": op4_language_id,
+    "op6_chat_format": op6_chat_format,
+    "op7_token_output": op7_token_output,
+    "op8_piece_encoding": op8_piece_encoding,
+    "op9_vector_search": op9_vector_search,
     "op10_toxicity": op10_toxicity,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {
+    "op9_vector_search": """
+WITH v AS (
+  SELECT vec_id, list_transform(embedding, x -> floor(64 * x::DOUBLE)::BIGINT) AS e FROM embeddings
+  WHERE vec_id IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, x -> x IS NULL OR NOT isfinite(x))) = 0
+), p AS (
+  SELECT q.vec_id AS query_id, c.vec_id, list_sum(list_transform(list_zip(q.e, c.e), z -> z[1] * z[2]))::BIGINT AS score
+  FROM v q JOIN v c ON q.vec_id % 20 = 0 AND c.vec_id <> q.vec_id
+), r AS (
+  SELECT query_id, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id)::INTEGER AS "rank", vec_id, score FROM p
+)
+SELECT query_id, "rank", vec_id, score FROM r WHERE "rank" <= 20
+""",
+}
