@@ -131,6 +131,8 @@ class LanguageModel:
 
     def predict(self, texts: list[str]) -> tuple[list[str], np.ndarray]:
         """Language and score of each text; ``und`` and 0 for a text without a letter."""
+        if not self.languages:
+            return ["und"] * len(texts), np.zeros(len(texts))
         if self.key not in _MEMO or len(_MEMO[self.key][0]) > _MEMO_WORDS:
             _MEMO[self.key] = ({}, [np.zeros((0, len(self.languages)), np.float32)])
         memo, table = _MEMO[self.key]
@@ -141,7 +143,7 @@ class LanguageModel:
             table[0] = np.concatenate([table[0], self.sums(new)])
         names, scores = [], np.zeros(len(texts))
         for k, (text, ws) in enumerate(zip(texts, words)):
-            if not ws or not self.languages or not _LETTER.search(text):
+            if not ws or not _LETTER.search(text):
                 names.append("und")
                 continue
             total = table[0][np.fromiter(map(memo.__getitem__, ws), np.int64, len(ws))].sum(0, dtype=np.float64)

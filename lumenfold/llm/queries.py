@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lumenfold.llm import chat_format, decontamination, language_id, piece_encoding, token_output, toxicity, url_filter, vector_search
+from lumenfold.llm import chat_format, decontamination, language_id, near_dedup, piece_encoding, suffix_dedup, token_output, toxicity, url_filter, vector_search
 from lumenfold.llm.common import read_table
 
 
@@ -19,6 +19,10 @@ def op1_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_words", "n_hit", F.size(items).cast("long").alias("n_items"), _sha256(F.concat_ws(",", items)).alias("items_sha256"), "contaminated")
 
 
+def op2_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_dedup.remove_repeats(read_table(spark, sf_dir, "documents")).select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256")
+
+
 def op3_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filter.filter_urls(read_table(spark, sf_dir, "pages"))
 
@@ -28,6 +32,10 @@ def op4_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language_id.identify_language(docs, language_id.fit_language_model(docs))
 
 
+def op5_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_dedup.near_duplicates(read_table(spark, sf_dir, "documents"))
+
+
 def op6_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     said = "</s>[INST] ok [/INST]"
     kept = read_table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
@@ -58,8 +66,10 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op1_decontamination": op1_decontamination,
+    "op2_suffix_dedup": op2_suffix_dedup,
     "op3_url_filter": op3_url_filter,
     "op4_language_id": op4_language_id,
+    "op5_near_dedup": op5_near_dedup,
     "op6_chat_format": op6_chat_format,
     "op7_token_output": op7_token_output,
     "op8_piece_encoding": op8_piece_encoding,

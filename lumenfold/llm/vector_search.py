@@ -157,7 +157,8 @@ def top_k(
     some = vectors.where(F.col(id_col).isNotNull() & F.col(vector_col).isNotNull()).select(F.col(id_col).cast("long").alias("__id"), F.col(vector_col).alias("__vector"))
     asked = some.where(F.col("__id") % every == 0)
     rows = asked.groupBy("__id").agg(F.min("__vector").alias("__vector")).toLocalIterator()
-    head_at, head = quantise([r["__vector"] for r in (head_rows := some.limit(first).collect())])
+    head_rows = some.limit(first).collect()
+    head_at, head = quantise([r["__vector"] for r in head_rows])
     head_by = _by_width([head_rows[j]["__id"] for j in head_at], head)
     schema = "query_id long, vec_id long, score long"
     found: DataFrame | None = None
