@@ -246,9 +246,11 @@ def find_contamination(
     share: int = 20,
     shard_bytes: int = 12_000_000,
     block_bytes: int = 8_000_000,
+    carry: tuple[str, ...] = (),
 ) -> DataFrame:
     """One row for each row of ``docs``: ``id_col``, ``text_col``, n_words, n_hit, item_ids, spans, contaminated.
 
+    The columns to ``carry`` come along.
     ``spans`` are merged ranges of words (first included, last not) inside any occurrence of a
     benchmark window; a window is ``window`` consecutive words, an item of fewer words is one window.
     ``contaminated``: n_hit > 0 and ``share`` * n_hit >= n_words.
@@ -259,7 +261,7 @@ def find_contamination(
     spark = docs.sparkSession
     out = docs.select(
         F.col(id_col), F.col(text_col), F.lit(0).cast("long").alias("n_words"),
-        F.array().cast("array<string>").alias("item_ids"), F.array().cast(_SPANS).alias("spans"),
+        F.array().cast("array<string>").alias("item_ids"), F.array().cast(_SPANS).alias("spans"), *[F.col(c) for c in carry],
     )
     schema = out.schema
     blocks = _blocks(benchmark, item_col, item_text_col, block_bytes)
@@ -276,7 +278,7 @@ def find_contamination(
                 yield pa.RecordBatch.from_arrays(
                     [
                         batch.column(0), batch.column(1), pa.array(counts, pa.int64()), pa.array(items, pa.list_(pa.string())),
-                        pa.array([[{"first": a, "last": b} for a, b in x] for x in spans], kind),
+                        pa.array([[{"first": a, "last": b} for a, b in x] for x in spans], kind), *batch.columns[5:],
                     ], names=batch.schema.names,
                 )
 

@@ -207,10 +207,14 @@ def encode_pieces(docs: DataFrame, model: str | None = None, id_col: str = "doc_
     return some.mapInArrow(encode, schema)
 
 
-def decode_pieces(tokens: DataFrame, model: str | None = None, id_col: str = "doc_id") -> DataFrame:
-    """One row for each row of ``tokens``: id, text, n_tokens, ids_crc32 (of the ids as little-endian unsigned 32-bit integers)."""
+def decode_pieces(tokens: DataFrame, model: str | None = None, id_col: str = "doc_id", with_ids: bool = False) -> DataFrame:
+    """One row for each row of ``tokens``: id, text, n_tokens, ids_crc32 (of the ids as little-endian unsigned 32-bit integers).
+
+    With ``with_ids`` the ids come along. Null ids are no ids: an empty text.
+    """
     path = model or model_path()
-    schema = tokens.select(id_col, F.lit("").alias("text"), F.lit(0).cast("long").alias("n_tokens"), F.lit(0).cast("long").alias("ids_crc32")).schema
+    more = ["ids"] if with_ids else []
+    schema = tokens.select(id_col, F.lit("").alias("text"), F.lit(0).cast("long").alias("n_tokens"), F.lit(0).cast("long").alias("ids_crc32"), *more).schema
 
     def decode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = encoder(path)
@@ -218,6 +222,6 @@ def decode_pieces(tokens: DataFrame, model: str | None = None, id_col: str = "do
             for k in range(0, whole.num_rows, 512):
                 batch = whole.slice(k, 512)
                 ids = [np.array(x or [], "<u4") for x in batch.column(1).to_pylist()]
-                yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([own.decode(x) for x in ids], pa.string()), pa.array([len(x) for x in ids], pa.int64()), pa.array([zlib.crc32(x.tobytes()) for x in ids], pa.int64())], names=[id_col, "text", "n_tokens", "ids_crc32"])
+                yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([own.decode(x) for x in ids], pa.string()), pa.array([len(x) for x in ids], pa.int64()), pa.array([zlib.crc32(x.tobytes()) for x in ids], pa.int64()), *batch.columns[1 : 1 + len(more)]], names=schema.names)
 
     return tokens.select(id_col, "ids").mapInArrow(decode, schema)

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lumenfold.llm import chat_format, decontamination, language_id, near_dedup, piece_encoding, suffix_dedup, token_output, toxicity, url_filter, vector_search
+from lumenfold.llm import chat_format, decontamination, language_id, near_dedup, oracle, piece_encoding, suffix_dedup, token_output, toxicity, url_filter, vector_search
 from lumenfold.llm.common import read_table
 
 
@@ -78,16 +78,8 @@ QUERIES = {
 }
 
 ORACLE_SQL: dict[str, str] = {
-    "op9_vector_search": """
-WITH v AS (
-  SELECT vec_id, list_transform(embedding, x -> floor(64 * x::DOUBLE)::BIGINT) AS e FROM embeddings
-  WHERE vec_id IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, x -> x IS NULL OR NOT isfinite(x))) = 0
-), p AS (
-  SELECT q.vec_id AS query_id, c.vec_id, list_sum(list_transform(list_zip(q.e, c.e), z -> z[1] * z[2]))::BIGINT AS score
-  FROM v q JOIN v c ON q.vec_id % 20 = 0 AND c.vec_id <> q.vec_id
-), r AS (
-  SELECT query_id, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id)::INTEGER AS "rank", vec_id, score FROM p
-)
-SELECT query_id, "rank", vec_id, score FROM r WHERE "rank" <= 20
-""",
+    "op1_decontamination": oracle.DECONTAMINATION,
+    "op5_near_dedup": oracle.NEAR_DEDUP,
+    "op6_chat_format": oracle.CHAT_FORMAT,
+    "op9_vector_search": oracle.VECTOR_SEARCH,
 }
