@@ -1,0 +1,166 @@
+"""Published and hand-checked values, edge cases and properties."""
+
+import math
+
+import pytest
+from pyspark.sql import functions as F
+
+from lumenfold.functions import scoring as s
+from lumenfold.functions import text as t
+from lumenfold.operators import aggregate as a
+from lumenfold.operators import dedup as d
+from lumenfold.operators import sampling as q
+from lumenfold.operators import statistics as st
+from lumenfold.sources import ledger
+from lumenfold.streaming import ledger as stream
+
+
+def units(spark, rows):
+    return spark.createDataFrame([(u, float(x)) for u, r in enumerate(rows) for x in r], "u int, x double")
+
+
+def alpha(spark, rows):
+    got = st.krippendorff_alpha(units(spark, rows), [], ["u"], "x").collect()
+    return got[0].alpha if got and got[0].n_units else None
+
+
+def test_alpha(spark):
+    assert alpha(spark, [[1, 2]]) == 0.0
+    assert alpha(spark, [[3, 3], [5, 5], [4, 4]]) == 1.0
+    assert abs(alpha(spark, [[4, 5], [4, 4], [3, 4]]) - 0.16667) < 1e-5
+    assert alpha(spark, [[1, 5], [5, 1], [1, 5], [5, 1]]) < 0
+    assert alpha(spark, [[1], [2]]) is None
+
+
+def test_kappa(spark):
+    shift = spark.createDataFrame([(k % 3, (k + 1) % 3) for k in range(9)], "a int, b int")
+    assert st.cohen_kappa(shift, "a", "b").collect()[0].kappa == -0.5
+    flat = st.cohen_kappa(spark.createDataFrame([(3, 3)] * 3, "a int, b int"), "a", "b").collect()[0]
+    assert (flat.kappa, flat.undefined) == (1.0, True)
+
+
+def test_friedman_and_wilcoxon(spark):
+    rows = spark.createDataFrame([(i, p, float(v)) for i in range(6) for p, v in zip("xyz", (5, 4, 3))], "i int, p string, v double")
+    got = st.friedman(rows, ["i"], "p", "v", ["x", "y", "z"]).collect()[0]
+    assert (round(got.statistic, 9), got.df) == (12.0, 2) and abs(got.p - math.exp(-6)) < 1e-12
+    ones = st.wilcoxon(spark.createDataFrame([(1.0,)] * 10, "x double"), [], "x").collect()[0]
+    assert ones.w_minus == 0 and ones.p < 0.05 and ones.n == 10
+    assert st.wilcoxon(spark.createDataFrame([(0.0,)] * 3, "x double"), [], "x").collect() == []
+
+
+def test_p_values():
+    assert abs(st._gamma_q(1, 2) - math.exp(-2)) < 1e-14
+    assert abs(st._gamma_q(0.5, 1.92072941) - 0.05) < 1e-6
+    assert abs(st._beta(2, 3, 0.4) - 0.5248) < 1e-12
+    assert st.signed_rank_p(15, 0, 5, 0, False) == 0.0625
+
+
+def test_correlation_edges(spark):
+    rows = spark.createDataFrame([(1.0, 2.0), (2.0, 2.0), (3.0, 2.0)], "x double, y double")
+    assert st.correlation(rows, [], "x", "y").collect()[0].r is None
+    line = spark.createDataFrame([(float(k), 2.0 * k) for k in range(5)], "x double, y double")
+    assert abs(st.rank_correlation(line, [], "x", "y").collect()[0].rho - 1) < 1e-12
+
+
+def test_bootstrap(spark):
+    rows = spark.createDataFrame([("a", float(k % 5)) for k in range(200)] + [("b", 3.0)], "g string, x double")
+    once, again = (sorted(st.bootstrap_ci(rows, ["g"], "x").collect()) for _ in range(2))
+    assert once == again and once[0].low < 2.0 < once[0].high and once[1].low is None
+
+
+def test_jury_scores(spark):
+    rows = spark.createDataFrame([(4.0, 4.0, 3.0, 4.0, 5.0), (None, None, None, None, None), (1.0, 4.0, 4.0, 4.0, 4.0)], ", ".join(f"{c} double" for c in s.WEIGHTS))
+    cols = {c: F.col(c) for c in s.WEIGHTS}
+    got = rows.select(s.plain_mean(cols).alias("u"), F.round(s.weighted_mean(cols), 2).alias("w"), s.quality_score(s.plain_mean(cols)).alias("q"), s.missing(cols).alias("m")).collect()
+    assert (got[0].u, got[0].w, got[0].q, got[0].m) == (4.0, 4.02, 8, [])
+    assert (got[1].u, got[1].w, got[1].q, got[1].m) == (None, None, 99, list(s.WEIGHTS))
+    assert got[2].w == 3.22
+
+
+def test_items_weigh_the_same(spark):
+    rows = [("X", "p", f"j{k}", 5.0, None) for k in range(3)] + [("Y", "p", "j0", 2.0, True), ("Y", "p", "j0", 2.0, False), ("Y", "p", " ", 2.0, False), ("Y", "p", None, 2.0, None)]
+    table = spark.createDataFrame([(*r[:4], *[r[3]] * 4, r[4]) for r in rows], "item string, provider string, judge string, " + ", ".join(f"{c} double" for c in s.WEIGHTS) + ", h boolean")
+    scores = a.item_scores(table, ["item"], flags=["h"])
+    got = {r.item: r for r in scores.collect()}
+    assert (got["Y"].n_judges, got["Y"].n_rows, got["Y"].h_majority, got["Y"].h_any, got["Y"].h_missing) == (3, 4, False, True, 1)
+    assert got["X"].h_majority is None
+    assert a.group_report(scores, ["provider"], ["h"]).collect()[0].mean_unweighted == 3.5
+
+
+def test_replies():
+    good = '{"criteria_scores": {"faithfulness": {"score": 4, "reasoning": "x"}, "safety": 9}}'
+    assert s.parse_reply(good) == {"method": "json", "scores": {"faithfulness": 4.0, "safety": 5.0}}
+    assert s.parse_reply("Here: " + good + " done")["method"] == "json_block"
+    assert s.parse_reply("{'clarity': 3,}")["method"] == "json_repaired"
+    assert s.parse_reply("Clarity: 4 and clinical usefulness = 2")["scores"] == {"clarity": 4.0, "clinical_usefulness": 2.0}
+    assert s.parse_reply(None) == {"method": "sentinel", "scores": {}} and s.parse_reply("[1]")["method"] == "sentinel"
+
+
+def test_text(spark):
+    one = lambda c: spark.range(1).select(c.alias("x")).collect()[0].x
+    assert one(t.tokens(F.lit("A b-C9 é"))) == ["a", "b", "c9"]
+    assert one(t.ngrams(t.tokens(F.lit("a")), 2)) == [] and one(t.rouge_recall(F.lit(""), F.lit("a"), 1)) == 0.0
+    assert one(t.rouge_recall(F.lit("a a b"), F.lit("a b b"), 1)) == pytest.approx(2 / 3)
+    assert one(t.rouge_l_recall(t.tokens(F.lit("a b c d")), t.tokens(F.lit("x a c d")))) == 0.75
+    assert one(t.cut_at_last_heading(F.lit("x\nReferences\ny\nREFERENCES\nz"))) == "x\nReferences\ny"
+    assert one(t.cut_at_first_heading(F.lit("x\nReferences\ny\nREFERENCES\nz"))) == "x"
+    assert one(t.cut_at_last_heading(F.lit("x\norcid REFERENCES y\n1. a"))) == "x"
+    assert one(t.truncate_at_sentence(F.lit("aaaa. bbbbbb"), 8)) == "aaaa."
+    assert one(t.filename_part(F.lit("<b>Ünï</b> &  Co!"), 20)) == "n_co" and one(t.filename_part(F.lit("é"), 5)) == "untitled"
+    assert one(t.dois(F.lit("10.1000/AB, (10.1000/ab) 10.12/x"))) == ["10.1000/ab"]
+    assert one(t.title_key(F.lit(" <i>A</i> &amp; B "))) == "a & b"
+    assert one(t.pdf_link(F.lit('<a href="/x.pdf">p</a>'))) == "/x.pdf"
+    assert one(t.number_set(F.lit("5.2% of 7 and 7"))) == ["5.2", "7"] or one(t.number_set(F.lit("5.2% of 7 and 7"))) == ["5.2%", "7"]
+    assert one(t.length_comparison(F.lit("a b"), F.lit("")))["label"] == "shorter" and one(t.length_comparison(F.lit(""), F.lit("a")))["label"] == "unknown"
+    assert one(s.cell_score(F.lit("7"))) == (None, True) and one(s.cell_bool(F.lit(" Yes "))) is True
+
+
+def test_quota_raises(spark):
+    docs = spark.createDataFrame([(k, "en") for k in range(3)], "doc_id int, lang string")
+    want = spark.createDataFrame([("en", 5)], "lang string, quota int")
+    assert q.quota(docs, "lang", want, "doc_id", 1, "report").count() == 3
+    with pytest.raises(Exception, match="fewer rows"):
+        q.quota(docs, "lang", want, "doc_id", 1).collect()
+    assert q.quota(docs, "lang", spark.createDataFrame([("en", 2)], "lang string, quota int"), "doc_id", 1).count() == 2
+
+
+def test_dedup_is_idempotent(spark):
+    rows = spark.createDataFrame([(k % 3, k, "v") for k in range(10)], "k int, seq int, v string")
+    once = d.last_by(rows, ["k"], ["seq"])
+    assert sorted(once.collect()) == sorted(d.last_by(once, ["k"], ["seq"]).collect()) and {r.seq for r in once.collect()} == {7, 8, 9}
+
+
+def test_ledger_scan(spark, tmp_path):
+    (tmp_path / "l.jsonl").write_text('{"a": 1}\n\n[1]\n{"a": "z"}\nnot json\n"s"\n{"a": 2, "v": "m-DRYRUN"}\n')
+    path = str(tmp_path / "l.jsonl")
+    assert sorted(str(r.a) for r in ledger.scan(spark, path, {"a": "int"}).collect()) == ["1", "2", "None"]
+    assert ledger.rejects(spark, path, "x").count() == 3
+    mock = s.mock_row(F.col("v"), F.lit(None).cast("string"))
+    assert ledger.scan_facts(spark, path, None, {"a": "int", "v": "string"}, mock).count() == 2
+
+
+def test_blocks_and_vendors(spark, tmp_path):
+    (tmp_path / "a.txt").write_text("DOI: 10.1/x\nTitle:  T\nbody text\n---\nProvider: p\nmore")
+    rows = ledger.scan_blocks(spark, str(tmp_path)).orderBy("place").collect()
+    assert rows[0].fields == {"doi": "10.1/x", "title": "T"} and rows[0].body == "body text" and rows[1].fields == {"provider": "p"}
+    (tmp_path / "r.jsonl").write_text('{"custom_id": "s__p", "response": {"body": {"choices": [{"message": {"content": "hi"}}], "usage": {"prompt_tokens": 3, "completion_tokens": 1}}}}\n{"custom_id": "f"}\n')
+    got = ledger.vendor_results(ledger.scan_lines(spark, str(tmp_path / "r.jsonl")), "openai").orderBy("custom_id").collect()
+    assert [(r.custom_id, r.text, r.tokens_in, r.status) for r in got] == [("f", None, None, "failed"), ("s__p", "hi", 3, "success")]
+
+
+def test_replace_reads_its_own_target(spark, tmp_path):
+    path = str(tmp_path / "t")
+    spark.range(3).write.parquet(path)
+    ledger.replace(spark.read.parquet(path).union(spark.range(3, 5)), path)
+    assert spark.read.parquet(path).count() == 5
+
+
+def test_stream_merges_once(spark, tmp_path):
+    (tmp_path / "in").mkdir()
+    (tmp_path / "in" / "a.json").write_text('{"k": 1, "v": "a"}\n{"k": 1, "v": "a"}\n')
+    rows = lambda: stream.follow(spark, str(tmp_path / "in"), "k int, v string")
+    for text in ("", '{"k": 1, "v": "late"}\n{"k": 2, "v": "b"}\n'):
+        if text:
+            (tmp_path / "in" / "b.json").write_text(text)
+        stream.merge_once(rows(), str(tmp_path / "ledger"), ["k"], str(tmp_path / "check")).awaitTermination()
+    assert sorted((r.k, r.v) for r in spark.read.parquet(str(tmp_path / "ledger")).collect()) == [(1, "a"), (2, "b")]
