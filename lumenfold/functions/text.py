@@ -55,21 +55,6 @@ def ngrams(words: Column, n: int) -> Column:
     return F.when(F.size(words) >= n, grams).otherwise(F.array().cast("array<string>"))
 
 
-def _counted(grams: Column, gram: Column) -> Column:
-    return F.size(F.filter(grams, lambda g: g == gram))
-
-
-def rouge_recall(reference: Column, candidate: Column, n: int) -> Column:
-    """Clipped n-gram matches over n-grams of the reference; 0 without any.
-
-    One row against its own text, with nothing exploded; :func:`lumenfold.operators.overlap.rouge_table` does
-    the same by hash aggregation for long texts.
-    """
-    ref, cand = ngrams(tokens(reference), n), ngrams(tokens(candidate), n)
-    hits = F.aggregate(F.array_distinct(ref), F.lit(0), lambda s, g: s + F.least(_counted(ref, g), _counted(cand, g)))
-    return F.when(F.size(ref) > 0, hits / F.size(ref)).otherwise(F.lit(0.0))
-
-
 def compression_ratio(reference: Column, candidate: Column) -> Column:
     ref = F.size(tokens(reference))
     return F.when(ref > 0, F.size(tokens(candidate)) / ref).otherwise(F.lit(0.0))

@@ -67,9 +67,11 @@ def average_rank(df: DataFrame, by: list[str], value: str, name: str) -> DataFra
     """
     counts = df.groupBy(*by, value).agg(F.count("*").alias("__m"))
     before = Window.partitionBy(*by).orderBy(value).rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    ranks = counts.select(*by, value, (F.sum("__m").over(before) - (F.col("__m") - 1) / 2).alias(name))
-    on = [df[c].eqNullSafe(ranks[c]) for c in [*by, value]]
-    return df.join(ranks, on, "left").select(*[df[c] for c in df.columns], ranks[name])
+    place = (F.sum("__m").over(before) - (F.col("__m") - 1) / 2).alias(name)
+    keys = [*by, value]
+    ranks = counts.select(*[F.col(c).alias(f"__key{k}") for k, c in enumerate(keys)], place)
+    on = [F.col(c).eqNullSafe(F.col(f"__key{k}")) for k, c in enumerate(keys)]
+    return df.join(ranks, on, "left").select(*df.columns, name)
 
 
 def rank_correlation(rows: DataFrame, by: list[str], x: str, y: str) -> DataFrame:

@@ -13,6 +13,7 @@ from lumenfold.operators import aggregate as a
 from lumenfold.operators import dedup as d
 from lumenfold.operators import sampling as q
 from lumenfold.operators import statistics as st
+from lumenfold.operators.overlap import rouge_table
 from lumenfold.plans.adapters import JUDGEMENTS_SQL, PAIRS_SQL, judgements, table, turn_pairs
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -124,7 +125,7 @@ def token_cost(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(rows.groupBy("provider").agg(F.count("*").alias("n"), F.sum(cost).alias("usd")))
 
 
-@query(f"WITH {JUDGEMENTS_SQL} SELECT l_orderkey, l_linenumber, l_suppkey, item, round(CASE WHEN {_WB} > 0 THEN ({_W})::DOUBLE / ({_WB}) END, 6) AS jury, list_filter([{', '.join(f'CASE WHEN {c} IS NULL THEN {chr(39)}{c}{chr(39)} END' for c in CRITERIA)}], x -> x IS NOT NULL)::VARCHAR AS absent FROM judgements WHERE item % 5 = 0")
+@query(f"WITH {JUDGEMENTS_SQL} SELECT l_orderkey, l_linenumber, l_suppkey, item, round(CASE WHEN {_WB} > 0 THEN ({_W})::DOUBLE / ({_WB}) END, 6) AS jury, list_filter([{', '.join(f'CASE WHEN {c} IS NULL THEN {chr(39)}{c}{chr(39)} END' for c in CRITERIA)}], lambda x: x IS NOT NULL)::VARCHAR AS absent FROM judgements WHERE item % 5 = 0")
 def jury_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     cols = {c: F.col(c) for c in CRITERIA}
     absent = F.concat(F.lit("["), F.array_join(s.missing(cols), ", "), F.lit("]"))
@@ -220,18 +221,20 @@ def json_fields(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 # Text ----------------------------------------------------------------------------------------------
 
-_TOK = "list_transform(regexp_extract_all({}, '[A-Za-z0-9]+'), x -> lower(x))"
-_GRAMS = "CASE WHEN len({0}) >= {1} THEN list_transform(range(1, len({0}) - {1} + 2), i -> array_to_string({0}[i:i + {1} - 1], ' ')) ELSE [] END"
-_ROUGE = "CASE WHEN len({r}) = 0 THEN 0 ELSE list_sum(list_transform(list_distinct({r}), g -> least(len(list_filter({r}, y -> y = g)), len(list_filter({c}, y -> y = g))))) / len({r}) END"
+_TOK = "list_transform(regexp_extract_all({}, '[A-Za-z0-9]+'), lambda x: lower(x))"
+_GRAMS = "CASE WHEN len({0}) >= {1} THEN list_transform(range(1, len({0}) - {1} + 2), lambda i: array_to_string({0}[i:i + {1} - 1], ' ')) ELSE [] END"
+_ROUGE = "CASE WHEN len({r}) = 0 THEN 0 ELSE list_sum(list_transform(list_distinct({r}), lambda g: least(len(list_filter({r}, lambda y: y = g)), len(list_filter({c}, lambda y: y = g))))) / len({r}) END"
 
 
 @query(f"""WITH {PAIRS_SQL}, k AS (SELECT conv_id, turn, {_TOK.format('reference')} AS r, {_TOK.format('candidate')} AS c FROM pairs),
 g AS (SELECT *, {_GRAMS.format('r', 2)} AS r2, {_GRAMS.format('c', 2)} AS c2 FROM k)
 SELECT conv_id, turn, round({_ROUGE.format(r='r', c='c')}, 6) AS rouge_1, round({_ROUGE.format(r='r2', c='c2')}, 6) AS rouge_2, round(CASE WHEN len(r) > 0 THEN len(c) / len(r) ELSE 0 END, 6) AS compression,
-round(CASE WHEN len(c) > 0 THEN len(list_filter(c, x -> list_contains(r, x))) / len(c) ELSE 0 END, 6) AS coverage FROM g""")
+round(CASE WHEN len(c) > 0 THEN len(list_filter(c, lambda x: list_contains(r, x))) / len(c) ELSE 0 END, 6) AS coverage FROM g""")
 def automatic_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
     r, c = F.col("reference"), F.col("candidate")
-    return rounded(turn_pairs(spark, sf_dir).select("conv_id", "turn", t.rouge_recall(r, c, 1).alias("rouge_1"), t.rouge_recall(r, c, 2).alias("rouge_2"), t.compression_ratio(r, c).alias("compression"), t.extractive_coverage(r, c).alias("coverage")))
+    pairs = turn_pairs(spark, sf_dir).select("conv_id", "turn", t.tokens(r).alias("r"), t.tokens(c).alias("c"), t.compression_ratio(r, c).alias("compression"))
+    scores = rouge_table(pairs, ["conv_id", "turn"], "r", "c", [1, 2])
+    return rounded(scores.join(pairs.select("conv_id", "turn", "compression"), ["conv_id", "turn"]))
 
 
 @query()
@@ -239,12 +242,13 @@ def rouge_l(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(turn_pairs(spark, sf_dir).select("conv_id", "turn", t.rouge_l_recall(t.tokens(F.col("reference")), t.tokens(F.col("candidate"))).alias("rouge_l")))
 
 
-_SECTION_SQL = " + ".join("regexp_matches(html, '" + p.replace("(?i)", "", 1) + "', 'i')::INT" for p in t.SUMMARY_SECTIONS.values())
+_SECTION_SQL = " + ".join("regexp_matches(regexp_replace(html, '[^\\x00-\\x7F]', ' ', 'g'), '" + p.replace("(?i)", "", 1) + "', 'i')::INT" for p in t.SUMMARY_SECTIONS.values())
 
 
 @query(f"SELECT page_id, {_SECTION_SQL} AS n_sections, round(({_SECTION_SQL}) / 6, 6) AS ratio FROM pages")
 def section_coverage(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return rounded(table(spark, sf_dir, "pages").select("page_id", t.section_count(F.col("html")).alias("n_sections"), t.section_ratio(F.col("html")).alias("ratio")))
+    plain = F.regexp_replace("html", r"[^\x00-\x7F]", " ")  # engines differ on word boundaries beyond ASCII
+    return rounded(table(spark, sf_dir, "pages").select("page_id", t.section_count(plain).alias("n_sections"), t.section_ratio(plain).alias("ratio")))
 
 
 @query(r"SELECT doc_id, len(regexp_extract_all(text, '[^ \t\n\x0B\f\r]+'))::INT AS words, floor(len(regexp_extract_all(text, '[^ \t\n\x0B\f\r]+')) * 1.33)::BIGINT AS tokens FROM documents")
@@ -296,7 +300,7 @@ def rubric_ladder(spark: SparkSession, sf_dir: str) -> DataFrame:
 _HAS = lambda words: "(" + " OR ".join(f"contains(lower(html), '{w}')" for w in words) + ")"
 
 
-@query(f"SELECT page_id, array_to_string(list_filter([{', '.join(f'CASE WHEN {_HAS(w)} THEN {chr(39)}{k}{chr(39)} END' for k, w in s.SPECIES.items())}], x -> x IS NOT NULL), ',') AS species, CASE {' '.join(f'WHEN {_HAS(w)} THEN {chr(39)}{k}{chr(39)}' for k, w in s.DESIGNS.items())} END AS design, CASE {' '.join(f'WHEN {_HAS(w)} THEN {chr(39)}{k}{chr(39)}' for k, w in s.TOPICS.items())} END AS topic FROM pages")
+@query(f"SELECT page_id, array_to_string(list_filter([{', '.join(f'CASE WHEN {_HAS(w)} THEN {chr(39)}{k}{chr(39)} END' for k, w in s.SPECIES.items())}], lambda x: x IS NOT NULL), ',') AS species, CASE {' '.join(f'WHEN {_HAS(w)} THEN {chr(39)}{k}{chr(39)}' for k, w in s.DESIGNS.items())} END AS design, CASE {' '.join(f'WHEN {_HAS(w)} THEN {chr(39)}{k}{chr(39)}' for k, w in s.TOPICS.items())} END AS topic FROM pages")
 def covariate_inference(spark: SparkSession, sf_dir: str) -> DataFrame:
     x = F.col("html")
     return table(spark, sf_dir, "pages").select("page_id", F.array_join(s.all_labels(x, s.SPECIES), ",").alias("species"), s.first_label(x, s.DESIGNS).alias("design"), s.first_label(x, s.TOPICS).alias("topic"))
