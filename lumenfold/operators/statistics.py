@@ -8,7 +8,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql.types import DoubleType
+from pyspark.sql.types import DoubleType, LongType, StructField, StructType
 
 
 def krippendorff_alpha(rows: DataFrame, by: list[str], unit: list[str], value: str) -> DataFrame:
@@ -216,7 +216,8 @@ def bootstrap_ci(rows: DataFrame, by: list[str], value: str, resamples: int = 20
     rows are aggregated before they meet and a group's size does not matter.
     """
     counts = rows.where(F.col(value).isNotNull()).groupBy(*by, F.col(value).cast("double").alias("__v")).agg(F.count("*").alias("__m"))
-    schema = counts.select(*by, F.lit(0).cast("long").alias("n"), *[F.lit(0.0).alias(c).try_cast("double").alias(c) for c in ("mean", "low", "high")]).schema
+    known = [StructField(c, counts.schema[c].dataType) for c in by]
+    schema = StructType([*known, StructField("n", LongType()), *[StructField(c, DoubleType()) for c in ("mean", "low", "high")]])
 
     def draw(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("__v")

@@ -49,14 +49,16 @@ def scan_scoresheets(spark: SparkSession, folder: str, columns: list[str]) -> Da
 
 def scan_blocks(spark: SparkSession, folder: str, separator: str = r"\n-{3,}\n") -> DataFrame:
     """Text files of ``key: value`` blocks: file, place, fields (map), body."""
-    files = spark.read.option("wholetext", True).text(folder).select("value", F.col("_metadata.file_name").alias("file"))
+    files = spark.read.text(folder, wholetext=True).select("value", F.col("_metadata.file_name").alias("file"))
     parts = files.select("file", F.posexplode(F.split("value", separator)).alias("place", "block"))
     line = r"(?m)^[ \t]*([A-Za-z_ ]+):[ \t]*([^\n]*)$"
-    keys = F.transform(F.regexp_extract_all("block", F.lit(line), F.lit(1)), lambda k: F.lower(F.trim(k)))
-    entries = F.arrays_zip(keys.alias("k"), F.regexp_extract_all("block", F.lit(line), F.lit(2)).alias("v"))
-    first = F.filter(entries, lambda e, i: F.array_position(keys, e["k"]) == i + 1)
+    parts = parts.withColumn("__k", F.transform(F.regexp_extract_all("block", F.lit(line), F.lit(1)), lambda k: F.lower(F.trim(k))))
+    parts = parts.withColumn("__v", F.transform(F.regexp_extract_all("block", F.lit(line), F.lit(2)), F.trim))
+    # of a key that comes twice the first counts
+    names = F.array_distinct("__k")
+    values = F.transform(names, lambda k: F.element_at("__v", F.array_position("__k", k).cast("int")))
     body = F.trim(F.regexp_replace("block", r"(?m)^[ \t]*[A-Za-z_ ]+:[^\n]*\n?", ""))
-    return parts.select("file", "place", F.map_from_entries(F.transform(first, lambda e: F.struct(e["k"], F.trim(e["v"])))).alias("fields"), body.alias("body"))
+    return parts.select("file", "place", F.map_from_arrays(names, values).alias("fields"), body.alias("body"))
 
 
 def vendor_results(lines: DataFrame, vendor: str) -> DataFrame:
