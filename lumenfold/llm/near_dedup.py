@@ -10,8 +10,8 @@ listed under its other values; pairs of at least 0.75 agree on each value with t
 dozen lists miss one with a chance below 1e-13. Only nodes whose sketch is mostly common are
 listed under common values too, and those lists may be of any length. They are not paired off:
 first every member meets one pivot of its list; lists whose members are then in one class are done. The
-rest is cut by set size (similar sets have similar sizes) and into blocks, and blocks of different classes are
-compared with full sets, block by block. Links, classes and lists stay in Spark throughout.
+rest is cut by set size (similar sets have similar sizes) and into blocks of bounded size, and pairs of
+different classes are estimated block by block and verified. Links, classes and lists stay in Spark throughout.
 """
 
 from __future__ import annotations
@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 from lumenfold.llm.common import byte_strings, slices, written
 from lumenfold.llm.shingles import shingle_sets
 
-KEEP, LISTS, COMMON, COMMON_LISTS, MOSTLY, BLOCK = 48, 24, 32, 12, 0.6, 48
+KEEP, LISTS, COMMON, COMMON_LISTS, MOSTLY, BLOCK = 48, 24, 32, 12, 0.6, 1024
 #: Up to so many rows a side is broadcast after it has been counted; beyond, it is shuffled.
 BROADCAST_ROWS = 2_000_000
 
@@ -129,36 +129,36 @@ def _verified(pairs: DataFrame, docs: DataFrame, id_col: str, text_col: str, wid
     return joined.mapInArrow(check, "a long, b long").distinct()
 
 
-def _block_links(blocks: DataFrame, width: int, percent: int) -> DataFrame:
-    """Links between members of two blocks of one list that are in different classes."""
+def _block_pairs(blocks: DataFrame, percent: int) -> DataFrame:
+    """Pairs (a, b, digests sa, sb) of members of one or two blocks of a list, in different classes, whose sketches pass."""
     floor = estimate_floor(percent)
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for v, size, same, left, right in zip(*(batch.column(k).to_pylist() for k in range(5))):
-                members = left if same else left + right
-                sets = ordered_sets([m["text"].encode() for m in members], width)
-                n = np.array([len(x) for x in sets])
-                label = np.array([m["label"] for m in members])
+            for v, size, left, right in zip(*(batch.column(k).to_pylist() for k in range(4))):
+                members = left + (right or [])
+                n, label, slot = (np.array([m[c] for m in members]) for c in ("n", "label", "size"))
+                common, sketch = [frozenset(m["common"]) for m in members], [np.array(m["sketch"], np.int64) for m in members]
                 ratio = (100 * n[:, None] >= percent * n[None, :]) & (100 * n[None, :] >= percent * n[:, None])
-                want = np.triu(ratio & (label[:, None] != label[None, :]), 1)
-                if not same:
+                # a pair that meets in several lists is compared in the first of them only
+                want = np.triu(ratio & (label[:, None] != label[None, :]) & (np.maximum(slot[:, None], slot[None, :]) == size), 1)
+                if right:
                     want[: len(left), : len(left)] = False
                     want[len(left) :, len(left) :] = False
                 out = []
-                for x, y in np.argwhere(want):
-                    a, b = members[x], members[y]
-                    # a pair that meets in several lists is compared in the first of them only
-                    if size != max(a["size"], b["size"]) or v != min(set(a["common"]) & set(b["common"])):
+                for x, y in np.argwhere(want).tolist():
+                    if v != min(common[x] & common[y]):
                         continue
-                    p, q = sets[x][:KEEP], sets[y][:KEEP]
-                    union = np.union1d(p, q)[:KEEP]
-                    if overlap(np.intersect1d(p, q), union) >= floor * len(union) and similar(sets[x], sets[y], percent):
-                        out.append((min(a["id"], b["id"]), max(a["id"], b["id"])))
+                    both = overlap(sketch[x], sketch[y])
+                    # all that both keep, whether or not the union's sketch does: never less than the estimate
+                    if both >= floor * min(KEEP, len(sketch[x]) + len(sketch[y]) - both):
+                        p, q = sorted((members[x], members[y]), key=lambda m: m["id"])
+                        out.append((p["id"], q["id"], p["s"], q["s"]))
                 if out:
-                    yield pa.RecordBatch.from_arrays([pa.array([x[0] for x in out], pa.int64()), pa.array([x[1] for x in out], pa.int64())], names=["a", "b"])
+                    kinds = (pa.int64(), pa.int64(), pa.binary(), pa.binary())
+                    yield pa.RecordBatch.from_arrays([pa.array(c, kind) for c, kind in zip(zip(*out), kinds)], names=["a", "b", "sa", "sb"])
 
-    return blocks.mapInArrow(compare, "a long, b long").distinct()
+    return blocks.mapInArrow(compare, "a long, b long, sa binary, sb binary")
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5, percent: int = 75, chunk: int = 1_000_000) -> DataFrame:
@@ -202,7 +202,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     classes = components(links)
     # long lists that still hold several classes
     members = listed.where(F.size("common") > 0).join(classes, "id", "left").select("id", "size", "common", F.coalesce("label", "id").alias("label"))
-    members = written(members, "members")
+    members = written(members.join(nodes.select("id", "n", "s", "sketch"), "id"), "members")
     entries = members.select("id", "label", "size", "common", F.explode("common").alias("v")).select("*", F.explode(F.array("size", F.col("size") + 1)).alias("slot"))
     open_lists = entries.groupBy("v", "slot").agg(F.min("label").alias("l0"), F.max("label").alias("l1")).where("l0 <> l1").select("v", "slot")
     entries = written(entries.join(open_lists, ["v", "slot"]), "entries")
@@ -211,15 +211,18 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     sizes = per_class.withColumn("tag", tag).groupBy("v", "slot", "tag").agg(F.sum("m").alias("total"))
     placed = entries.join(per_class, ["v", "slot", "label"]).withColumn("tag", tag).join(sizes, ["v", "slot", "tag"])
     placed = placed.withColumn("part", F.pmod(F.xxhash64("id"), F.ceil(F.col("total") / BLOCK)))
-    ids = members.join(entries.select("id").distinct(), "id", "left_semi").select("id")
-    texts = _texts(docs, ids, id_col, text_col).withColumn("text", F.coalesce("text", F.lit(""))).dropDuplicates(["id"])
-    blocks = placed.join(texts, "id").groupBy("v", "slot", "tag", "part").agg(F.collect_list(F.struct("id", "label", "size", "common", "text")).alias("x"))
+    placed = placed.join(members.select("id", "n", "s", "sketch"), "id")
+    blocks = placed.groupBy("v", "slot", "tag", "part").agg(F.collect_list(F.struct("id", "label", "size", "common", "n", "s", "sketch")).alias("x"))
     blocks = written(blocks, "blocks")
-    again = blocks.select("v", "slot", F.col("tag").alias("tag2"), F.col("part").alias("part2"), F.col("x").alias("y"))
-    mine, its = F.struct("tag", "part"), F.struct("tag2", "part2")
-    met = blocks.join(again, ["v", "slot"]).where((mine <= its) & ((F.col("tag") != F.col("tag2")) | (F.col("tag") == -1)))
-    met = met.select("v", "slot", ((F.col("tag") == F.col("tag2")) & (F.col("part") == F.col("part2"))).alias("same"), "x", "y")
-    more = written(_block_links(met, width, percent), "links")
+    # blocks by themselves, and with the others of their list if there are any
+    mixed = blocks.where("tag = -1")
+    several = blocks.groupBy("v", "slot").agg(F.count("*").alias("m")).where("m > 1").select("v", "slot")
+    split = blocks.join(several, ["v", "slot"])
+    again = split.select("v", "slot", F.col("tag").alias("tag2"), F.col("part").alias("part2"), F.col("x").alias("y"))
+    met = split.join(again, ["v", "slot"]).where((F.struct("tag", "part") < F.struct("tag2", "part2")) & ((F.col("tag") != F.col("tag2")) | (F.col("tag") == -1)))
+    met = mixed.select("v", "slot", "x", F.lit(None).cast(blocks.schema["x"].dataType).alias("y")).unionByName(met.select("v", "slot", "x", "y"))
+    passed = written(_block_pairs(met, percent), "pairs")
+    more = written(_verified(passed, docs, id_col, text_col, width, percent), "links")
     over = more.join(classes.withColumnRenamed("id", "a").withColumnRenamed("label", "la"), "a", "left").join(classes.withColumnRenamed("id", "b").withColumnRenamed("label", "lb"), "b", "left")
     upper = components(over.select(F.coalesce("la", "a").alias("a"), F.coalesce("lb", "b").alias("b")))
     # labels of nodes, of their sets, of documents
