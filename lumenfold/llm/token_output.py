@@ -6,19 +6,20 @@ reader fetch the tokens of a few documents, or metadata without any tokens. Toke
 or delta encoded. Everything that the query returns is read back from the files.
 
 Encoding calls the tokenizers library once for each distinct unit that a worker meets. A unit is a
-space and what follows it up to the next space. The pre-tokenizer of a byte-level model never joins
-what stands on both sides of a space between two characters that are not white space, so units can
-be encoded alone; a text with any other white space next to a space, or with a special token's
-string, goes through the library whole.
+line break, or a space and what follows it up to the next space or line break. The pre-tokenizer of a
+byte-level model never joins what stands on both sides of a space or line break between two characters
+that are not white space, nor a letter or digit with a period or comma that ends a unit, so units and
+their stems can be encoded alone; a stem of letters is one pre-token and goes to the library's merge model
+directly. A text with other white space, or with two such characters in a row, goes through the library whole.
 """
 
 from __future__ import annotations
 
 import os
-import re
 import zlib
 from collections.abc import Iterator
 from functools import lru_cache
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -27,8 +28,22 @@ from pyspark.sql import functions as F
 
 from lumenfold.llm.common import shared_path, slices, strings
 
-_WIDE = re.compile(r" \s|\s ")
-_MEMO_UNITS = 500_000
+#: White space that is neither a space nor a line break.
+_OTHER_SPACE = "\t\r\x0b\x0c\x1c\x1d\x1e\x1f\x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000"
+_ASCII_SPACE = [c for c in _OTHER_SPACE if c < "\x80"]
+_CUT = "\0"
+_MEMO_UNITS = 600_000
+
+
+def simple(text: str) -> bool:
+    """Whether the text can be cut into units."""
+    if "  " in text or "\n\n" in text or " \n" in text or "\n " in text or _CUT in text:
+        return False
+    return not any(c in text for c in (_ASCII_SPACE if text.isascii() else _OTHER_SPACE))
+
+
+def units_of(text: str) -> list[str]:
+    return text.replace(" ", "\0 ").replace("\n", "\0\n\0").split(_CUT)
 
 
 def tokenizer_path() -> str:
@@ -46,17 +61,39 @@ class UnitEncoder:
 
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True  # a special token's string in a text is ordinary text
+        # how a byte-level model shows bytes: printable ones as themselves, the rest from U+0100 on
+        plain = [*range(33, 127), *range(161, 173), *range(174, 256)]
+        hidden = [b for b in range(256) if b not in plain]
+        self.shown = {b: chr(256 + k) for k, b in enumerate(hidden)} | {10: "\n"}
         self.reset()
 
     def reset(self) -> None:
-        self.units: dict[str, int] = {}
-        self.starts = np.zeros(1, np.int64)
+        self.units: dict[str, int] = {"": 0}
+        self.starts = np.zeros(2, np.int64)
         self.ids = np.zeros(0, np.int32)
 
+    def _stems(self, stems: list[str]) -> dict[str, list[int]]:
+        letters = [u for u in stems if u[1:].isalpha() and (u[0] == " " or u[0].isalpha())]
+        joined = "\n".join(letters)
+        if not joined.isascii():  # letters that are older than any table of letters in use
+            letters = [u for u in letters if max(u) < "\u0250"]
+            joined = "\n".join(letters)
+        shown = joined.encode().decode("latin-1").translate(self.shown).split("\n") if letters else []
+        tokenize = self.tokenizer.model.tokenize
+        out = {u: [x.id for x in tokenize(b)] for u, b in zip(letters, shown)}
+        rest = [u for u in stems if u not in out]
+        out.update(zip(rest, [x.ids for x in self.tokenizer.encode_batch_fast(rest, add_special_tokens=False)]))
+        return out
+
     def _learn(self, new: list[str]) -> None:
-        found = [x.ids for x in self.tokenizer.encode_batch_fast(new, add_special_tokens=False)]
+        cut = [u[:-1] if u[-1] in ".," and u[-2:-1].isalnum() else u for u in new]
+        known = self._stems(list({*cut, ".", ","}.difference(self.units)))
+        for u in {*cut, ".", ","}.intersection(self.units):
+            k = self.units[u]
+            known[u] = self.ids[self.starts[k] : self.starts[k + 1]].tolist()
+        found = [known[u] if len(c) == len(u) else known[c] + known[u[-1]] for u, c in zip(new, cut)]
         sizes = np.fromiter(map(len, found), np.int64, len(found))
-        ids = np.fromiter((k for x in found for k in x), np.int32, int(sizes.sum()))
+        ids = np.fromiter(chain.from_iterable(found), np.int32, int(sizes.sum()))
         self.units.update(zip(new, range(len(self.units), len(self.units) + len(new))))
         self.starts = np.concatenate([self.starts, self.starts[-1] + np.cumsum(sizes)])
         self.ids = np.concatenate([self.ids, ids])
@@ -64,30 +101,19 @@ class UnitEncoder:
     def encode(self, texts: list[str]) -> list[np.ndarray]:
         if len(self.units) > _MEMO_UNITS:
             self.reset()
-        whole = [_WIDE.search(t) is not None for t in texts]
-        split: list[list[str]] = []
-        for text, w in zip(texts, whole):
-            if w or not text:
-                split.append([])
-                continue
-            # a unit keeps the space before it; the first one may have none
-            first, *rest = text.split(" ")
-            split.append([*([first] if first else []), *map(" ".__add__, rest)])
-        new = list({u for x in split for u in x}.difference(self.units))
+        split = [units_of(t) if simple(t) else None for t in texts]
+        new = list(set(chain.from_iterable(x for x in split if x)).difference(self.units))
         if new:
             self._learn(new)
-        out = []
-        for text, w, x in zip(texts, whole, split):
-            if w:
-                out.append(np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, np.int32))
-            elif not x:
-                out.append(np.zeros(0, np.int32))
-            else:
-                at = np.fromiter(map(self.units.__getitem__, x), np.int64, len(x))
-                start, size = self.starts[at], self.starts[at + 1] - self.starts[at]
-                ends = np.cumsum(size)
-                out.append(self.ids[np.repeat(start - ends + size, size) + np.arange(ends[-1])])
-        return out
+        counts = [len(x) if x else 0 for x in split]
+        at = np.fromiter(map(self.units.__getitem__, chain.from_iterable(x for x in split if x)), np.int64, sum(counts))
+        start = self.starts[at]
+        size = self.starts[at + 1] - start
+        ends = np.cumsum(size)
+        flat = self.ids[np.repeat(start - ends + size, size) + np.arange(ends[-1] if len(ends) else 0)]
+        edges = np.concatenate([[0], ends])[np.cumsum([0, *counts])].tolist()
+        whole = iter([x.ids for x in self.tokenizer.encode_batch_fast([t for t, x in zip(texts, split) if x is None], add_special_tokens=False)])
+        return [flat[a:b] if x is not None else np.array(next(whole), np.int32) for x, a, b in zip(split, edges, edges[1:])]
 
 
 @lru_cache(maxsize=2)
