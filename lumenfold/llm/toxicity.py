@@ -150,13 +150,18 @@ def training_rows(docs: DataFrame, labels: DataFrame, each: int = 900, longest:
     They are those of the smallest hash of their id, so the choice is the same in every run. Labels
     that contradict each other for one id, null labels and null texts teach nothing.
     """
-    said = labels.where(F.col("toxic").isin(0, 1) & (id_fold("doc_id") != 1)).groupBy("doc_id").agg(F.min("toxic").alias("toxic"), F.max("toxic").alias("most")).where("toxic = most").select(F.col("doc_id").alias("__id"), F.col("toxic").alias("__label"))
-    texts = docs.where(F.col("text").isNotNull() & (F.length("text") <= longest) & (id_fold("doc_id") != 1)).select(F.col("doc_id").alias("__id"), F.col("text").alias("__text"))
-    rows = []
+    fair = F.col("toxic").isin(0, 1) & (id_fold("doc_id") != 1)
+    said = labels.where(fair).groupBy("doc_id").agg(F.min("toxic").alias("label"), F.max("toxic").alias("most")).where("label = most")
+    spark, rows = docs.sparkSession, []
+    texts = docs.where(F.col("text").isNotNull() & (F.length("text") <= longest)).select(F.col("doc_id").alias("__id"), F.col("text").alias("__text"))
     for label in (0, 1):
-        order = [F.xxhash64("__id"), F.col("__id"), F.xxhash64("__text")]
-        rows += texts.join(said.where(F.col("__label") == label), "__id").orderBy(*order).limit(each).select("__text", "__label").collect()
-    return [r[0] for r in rows], [int(r[1]) for r in rows]
+        # ids come from the labels alone, twice as many as are wanted, so that no text is shuffled
+        order = F.xxhash64("doc_id")
+        ids = said.where(F.col("label") == label).orderBy(order, "doc_id").limit(2 * each).select("doc_id").collect()
+        chosen = spark.createDataFrame([(r[0],) for r in ids], "__id long")
+        found = texts.join(F.broadcast(chosen), "__id").orderBy(F.xxhash64("__id"), "__id", F.xxhash64("__text")).limit(each)
+        rows += [(r["__text"], label) for r in found.select("__text").collect()]
+    return [t for t, _ in rows], [k for _, k in rows]
 
 
 def fit_toxicity(docs: DataFrame, labels: DataFrame, each: int = 900, longest: int = 6_000, **options: object) -> ToxicityModel:
@@ -180,3 +185,14 @@ def score_toxicity(docs: DataFrame, model: ToxicityModel, id_col: str = "doc_id"
 
     out = some.mapInArrow(score, schema)
     return out.select(id_col, held_out(id_col).alias("held_out"), "score", (F.col("score") >= threshold).cast("int").alias("predicted"))
+
+
+def drop_toxic(docs: DataFrame, model: ToxicityModel, text_col: str = "text", threshold: float = 0.7, chunk: int = 4_000_000) -> DataFrame:
+    """The rows of ``docs`` that score less than ``threshold``, with all their columns."""
+    shared = docs.sparkSession.sparkContext.broadcast(model)
+
+    def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in slices(batches, text_col, chunk):
+            yield batch.filter(pa.array(shared.value.score(strings(batch, text_col)) < threshold))
+
+    return docs.mapInArrow(keep, docs.schema)
