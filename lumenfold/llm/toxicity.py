@@ -55,6 +55,8 @@ class ToxicityModel:
         return float(self.weights[at].sum()) / len(at)
 
     def score(self, texts: list[str]) -> np.ndarray:
+        if self.key == "none":  # nothing was learned: the base rate, however long a text is
+            return np.full(len(texts), -np.expm1(-np.logaddexp(0, self.bias)))
         memo = _MEMO.setdefault(self.key, {})
         if len(memo) > _MEMO_WORDS:
             memo.clear()
@@ -82,7 +84,7 @@ def train(texts: list[str], labels: list[int], dim: int = 2, buckets: int = 1 <<
     if not docs or y.min() == y.max():
         share = float(np.mean(labels)) if labels else 0.0
         share = min(max(share, 1e-3), 1 - 1e-3)
-        return ToxicityModel("none", np.zeros(1), float(np.log(-np.log1p(-share))), passage=passage)
+        return ToxicityModel("none", np.zeros(1), float(np.log(share / (1 - share))), passage=passage)
     bags = [grams(w, 3, 5, buckets) for w in vocabulary]
     size = np.array([len(x) for x in bags])
     gram = np.fromiter((k for x in bags for k in x), np.int64, size.sum())
@@ -106,7 +108,7 @@ def train(texts: list[str], labels: list[int], dim: int = 2, buckets: int = 1 <<
     # a class's documents weigh the same in sum, half of the way
     weight = np.where(y == 1, len(y) / max(1, y.sum()), 1.0) ** 0.5
     scale = [0.0, 0.0, 0.0]
-    steps = epochs * -(-len(docs) // batch)
+    steps = max(epochs * -(-len(docs) // batch), 600)  # a small sample is read more often
     for step in range(steps):
         if step % -(-len(docs) // batch) == 0:
             order = rng.permutation(len(docs))

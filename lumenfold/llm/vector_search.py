@@ -151,7 +151,8 @@ def top_k(
     Null vectors, vectors with null or non-finite components, empty vectors and null ids take no part;
     vectors of another width than the query's are not its candidates. A query with fewer than ``k``
     candidates gets them all. Repeated rows: a query id gives one query (any row of it with the
-    smallest vector), a candidate's repeated rows count each. Other columns are not read.
+    smallest vector), a candidate's repeated rows count each. A product beyond 64 bits raises.
+    Other columns are not read.
     """
     spark = vectors.sparkSession
     some = vectors.where(F.col(id_col).isNotNull() & F.col(vector_col).isNotNull()).select(F.col(id_col).cast("long").alias("__id"), F.col(vector_col).alias("__vector"))

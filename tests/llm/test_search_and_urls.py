@@ -28,7 +28,7 @@ def test_search_edge_cases(spark):
     rng = np.random.default_rng(2)
     rows = [(k, rng.normal(size=8).tolist()) for k in range(60)]
     rows += [(100 + k, rows[0][1]) for k in range(30)]  # ties
-    rows += [(200, None), (201, [None] * 8), (220, [float("nan")] * 8), (221, [float("inf")] * 8), (240, []), (None, rows[1][1]), (260, [1.0, 2.0]), (261, [3.0, 1.0]), (280, [1e12] * 8)]
+    rows += [(200, None), (201, [None] * 8), (220, [float("nan")] * 8), (221, [float("inf")] * 8), (240, []), (None, rows[1][1]), (260, [1.0, 2.0]), (261, [3.0, 1.0]), (280, [1e7] * 8)]
     table = spark.createDataFrame([(*r, 5) for r in rows], "vec_id long, embedding array<float>, score int")
     for options in ({}, {"block": 2, "first": 30, "chunk": 7}):
         got = {tuple(r) for r in v.top_k(table.repartition(3), **options).collect()}
