@@ -65,7 +65,7 @@ def shingle_sets(texts: list[bytes], width: int = 5) -> list[np.ndarray]:
     at = np.searchsorted(first, starts)  # words before each text
     n = len(word)
     acc = word.copy()
-    for k in range(1, width):
+    for k in range(1, min(width, n)):
         acc[: n - k] = mix(acc[: n - k] * _M3 + word[k:] + np.uint64(k))
     out = []
     for a, b in zip(at.tolist(), at[1:].tolist()):
