@@ -10,9 +10,9 @@ depends on nearby bytes only, so equal strings have the same anchors but near th
 2. Position-rank pairs at growing offsets, 1, 2, 4, ... phrases: Spark groups equal pairs, the least
    position of a group is the new rank, positions whose pair is unique leave. A position whose run reaches
    ``length`` bytes is past the threshold: its run repeats, every byte of it goes.
-3. What is left open are strings that reach beyond the anchors of a repeated run, a few at each of its
-   ends. Only they, and strings elsewhere with the same anchors inside, are compared one by one, by 128-bit
-   hashes.
+3. What is left open are strings that reach beyond the anchors of a repeated run, at its ends. Blocks of up to
+   ``STEP`` of them are settled at once by what all have in common and by what any covers; only the rest are
+   compared one by one, by 128-bit hashes.
 
 Positions belong to distinct texts (by md5), so copies of a text are one text to all of this; a text that
 occurs twice and has ``length`` bytes goes whole. Ranks are 64 bits: two of n unequal strings are taken for
@@ -26,14 +26,13 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lumenfold.llm.common import byte_strings, slices, written
 from lumenfold.llm.shingles import mix, powers, prefix_hashes
 
-GRAM, REACH = 16, 96
+GRAM, REACH, STEP = 16, 96, 32
 #: Up to so many rows a side is broadcast after it has been counted; beyond, it is shuffled.
 BROADCAST_ROWS = 2_000_000
 _SEED = np.uint64(0xA0761D6478BD642F)
@@ -85,8 +84,8 @@ def inner_anchors(places: np.ndarray, size: int, length: int) -> tuple[np.ndarra
     return first, last
 
 
-def open_runs(places: np.ndarray, alive: np.ndarray, covered: np.ndarray, size: int, length: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Runs (first and last inner anchor) of strings that could repeat, and whether one is in no repeated run.
+def open_windows(places: np.ndarray, alive: np.ndarray, covered: np.ndarray, size: int, length: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Starts of strings that could repeat, their first inner anchors, and whether no repeated run holds them.
 
     ``alive``: phrases whose rank repeats; ``covered``: (first, last) bytes of repeated runs. Both occurrences of a
     string that repeats have its inner anchors in common, so all phrases between them repeat.
@@ -99,11 +98,7 @@ def open_runs(places: np.ndarray, alive: np.ndarray, covered: np.ndarray, size:
     if len(covered):
         np.maximum.at(reach, covered[:, 0], covered[:, 1])
         reach = np.maximum.accumulate(reach)
-    first, last, free = first[may], last[may], reach[may] < may + length
-    if not len(may):
-        return first, last, free
-    new = np.flatnonzero(np.concatenate([[True], (first[1:] != first[:-1]) | (last[1:] != last[:-1])]))
-    return first[new], last[new], np.logical_or.reduceat(free, new)
+    return may, places[first[may]], reach[may] < may + length
 
 
 def merge_ranges(ranges: np.ndarray) -> list[tuple[int, int]]:
@@ -172,40 +167,31 @@ def _pairs(state: DataFrame, span: int) -> DataFrame:
 
 
 def _alive(phrases: DataFrame, names: DataFrame, count: int) -> DataFrame:
-    """Phrases whose name repeats: t, i (array), need (array), rank (array); one row a text."""
-    schema = "t binary, i array<int>, need array<int>, rank array<long>"
-    if count > BROADCAST_ROWS:
-        rows = phrases.select("t", F.posexplode(F.arrays_zip("need", "rank")).alias("i", "x")).select("t", "i", "x.need", F.col("x.rank").alias("name"))
-        kept = rows.join(names, "name").dropDuplicates(["t", "i"])
-        return kept.groupBy("t").agg(F.collect_list(F.struct("i", "need", "rank")).alias("x")).select("t", "x.i", "x.need", "x.rank")
-    pairs = names.toPandas()
-    order = np.argsort(pairs["name"].to_numpy(np.int64))
-    shared: Broadcast = phrases.sparkSession.sparkContext.broadcast((pairs["name"].to_numpy(np.int64)[order], pairs["rank"].to_numpy(np.int64)[order]))
-
-    def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        name, rank = shared.value
-        for batch in batches:
-            out: list[list] = [[], [], [], []]
-            lists = batch.column(2)
-            flat, edges = lists.values.to_numpy(zero_copy_only=False), lists.offsets.to_numpy()
-            at = np.searchsorted(name, flat).clip(max=max(0, len(name) - 1))
-            hit = name[at] == flat if len(name) else np.zeros(len(flat), bool)
-            for k in np.unique(np.searchsorted(edges, np.flatnonzero(hit), side="right") - 1).tolist():
-                a, b = int(edges[k]), int(edges[k + 1])
-                i = np.flatnonzero(hit[a:b])
-                out[0].append(batch.column(0)[k].as_py())
-                out[1].append(i.tolist())
-                out[2].append(np.array(batch.column(1)[k].as_py())[i].tolist())
-                out[3].append(rank[at[a:b][i]].tolist())
-            if out[0]:
-                yield pa.RecordBatch.from_arrays([pa.array(x, kind) for x, kind in zip(out, (pa.binary(), pa.list_(pa.int32()), pa.list_(pa.int32()), pa.list_(pa.int64())))], names=["t", "i", "need", "rank"])
-
-    return phrases.mapInArrow(keep, schema).dropDuplicates(["t"])
-
-
-def _runs(texts: DataFrame, length: int) -> DataFrame:
-    """Runs that open strings have between their inner anchors: t, first, last, key, free. ``texts``: t, text, alive, runs."""
-    schema = "t binary, first int, last int, key long, free boolean"
+    """Phrases whose name repeats: t, i, need, rank (arrays); one row a text, however many copies it has."""
+    rows = phrases.select("t", F.posexplode(F.arrays_zip("need", F.col("rank").alias("name"))).alias("i", "x")).select("t", "i", "x.need", "x.name")
+    kept = rows.join(_limited(names, count), "name")
+    return kept.groupBy("t").agg(F.collect_set(F.struct("i", "need", "rank")).alias("x")).select("t", "x.i", "x.need", "x.rank")
+
+
+def _hashes(text: bytes) -> tuple[np.ndarray, np.ndarray]:
+    codes = np.frombuffer(text, np.uint8)
+    return prefix_hashes(codes), powers(len(codes))[1]
+
+
+def _between(prefix: np.ndarray, down: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Hashes of bytes a to b, of strings whose lengths may differ."""
+    return mix((prefix[b] - prefix[a]) * down[a] + (b - a).astype(np.uint64) * _SEED).view(np.int64)
+
+
+def _blocks(texts: DataFrame, length: int) -> DataFrame:
+    """Blocks of strings that could repeat: t, anchor, block, low, high, free, inside, whole. ``texts``: t, text, alive, runs.
+
+    A block holds strings with the same first inner anchor that start ``STEP`` * block to ``STEP`` * (block + 1) - 1 bytes
+    before it. ``inside`` hashes what all of them have in common: if that is unique, none repeats. ``whole`` hashes
+    what any of them covers (null if the text ends before): if that repeats, all do. ``low`` and ``high`` are the
+    least and largest start in this text.
+    """
+    schema = "t binary, anchor int, block int, low int, high int, free boolean, inside long, whole long"
 
     def look(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -215,31 +201,35 @@ def _runs(texts: DataFrame, length: int) -> DataFrame:
                     continue
                 flags = np.zeros(len(places) - 1, bool)
                 flags[alive] = True
-                first, last, free = open_runs(places, flags, covered(places, runs or [], length), len(text), length)
-                if not len(first):
+                start, anchor, free = open_windows(places, flags, covered(places, runs or [], length), len(text), length)
+                if not len(start):
                     continue
-                codes = np.frombuffer(text, np.uint8)
-                prefix, (_, down) = prefix_hashes(codes), powers(len(codes))
-                a, b = places[first], places[last] + GRAM
-                key = mix((prefix[b] - prefix[a]) * down[a] + (b - a).astype(np.uint64) * _SEED)
-                yield pa.RecordBatch.from_arrays([pa.array([t] * len(first), pa.binary()), pa.array(first.astype(np.int32)), pa.array(last.astype(np.int32)), pa.array(key.view(np.int64)), pa.array(free)], names=["t", "first", "last", "key", "free"])
+                block = (anchor - start) // STEP
+                new = np.flatnonzero(np.concatenate([[True], (anchor[1:] != anchor[:-1]) | (block[1:] != block[:-1])]))
+                low, high, free = start[new], start[np.append(new[1:], len(start)) - 1], np.logical_or.reduceat(free, new)
+                anchor, block = anchor[new], block[new]
+                prefix, down = _hashes(text)
+                a, b = anchor - STEP * block - STEP + 1, anchor - STEP * block
+                fits = (a >= 0) & (b + length <= len(text))
+                whole = pa.array(_between(prefix, down, a.clip(min=0), (b + length).clip(max=len(text))), mask=~fits)
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array([t] * len(new), pa.binary()), *[pa.array(x.astype(np.int32)) for x in (anchor, block, low, high)], pa.array(free), pa.array(_between(prefix, down, b, a + length)), whole],
+                    names=["t", "anchor", "block", "low", "high", "free", "inside", "whole"],
+                )
 
     return texts.mapInArrow(look, schema)
 
 
 def _windows(texts: DataFrame, length: int) -> DataFrame:
-    """Hashes of the strings of the given runs: t, start, a, b. ``texts``: t, text, x (runs)."""
+    """Hashes of the strings of the given blocks: t, start, a, b. ``texts``: t, text, x (low and high starts)."""
     schema = "t binary, start int, a long, b long"
 
     def look(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for t, text, x in zip(batch.column(0).to_pylist(), byte_strings(batch, "text"), batch.column(2).to_pylist()):
-                places = anchors_of([text], length)[0][0]
-                first, last = inner_anchors(places, len(text), length)
-                wide = len(places) + 1
-                start = np.flatnonzero(np.isin(first * wide + last, [r["first"] * wide + r["last"] for r in x]))
+                start = np.unique(np.concatenate([np.arange(r["low"], r["high"] + 1) for r in x]))
                 codes = np.frombuffer(text, np.uint8)
-                _, down = powers(len(codes))
+                down = powers(len(codes))[1]
                 # two hashes: the second one gives each byte the number of another byte
                 a, b = prefix_hashes(codes), prefix_hashes(codes * np.uint8(167) + np.uint8(13))
                 one = mix((a[start + length] - a[start]) * down[start])
@@ -258,10 +248,10 @@ def covered(places: np.ndarray, runs: list[int], length: int) -> np.ndarray:
 
 
 def find_repeats(docs: DataFrame, text_col: str = "text", length: int = 400, chunk: int = 1_000_000) -> DataFrame:
-    """What goes of each distinct text: t (its md5), whole (all of it), starts and runs.
+    """What goes of each distinct text: t (its md5), whole (all of it), starts, blocks and runs.
 
-    ``starts`` are byte positions of repeated strings of ``length`` bytes, ``runs`` anchors where a repeated run
-    begins; :func:`removed_ranges` turns both into byte ranges. Texts without either are not listed.
+    ``starts`` are byte positions of repeated strings of ``length`` bytes, ``blocks`` least and largest starts of
+    such strings, ``runs`` anchors where a repeated run begins; :func:`removed_ranges` turns them into byte ranges. Texts without any are not listed.
     """
     if length < 4 * REACH + GRAM - 3:
         raise ValueError(f"strings of {length} bytes are too short for anchors {REACH} apart")
@@ -290,48 +280,58 @@ def find_repeats(docs: DataFrame, text_col: str = "text", length: int = 400, chu
     # one document of each text: its bytes are read again where they are, the small side travels if it is small
     count = known.count()
     open_texts = long.join(_limited(known, count), "t").dropDuplicates(["t"])
-    found = written(_runs(open_texts.select("t", "text", "alive", "runs"), length).withColumn("pid", F.xxhash64("t", "first")), "open")
-    # strings inside a repeated run matter too where another text has the same inner run at the end of one
-    keys = found.groupBy("key").agg(F.max("free").alias("free"), F.min("pid").alias("p0"), F.max("pid").alias("p1")).where("free and p0 <> p1").select("key")
-    chosen = written(found.join(keys, "key").groupBy("t").agg(F.collect_list(F.struct("first", "last")).alias("x")), "chosen")
+    blocks = written(_blocks(open_texts.select("t", "text", "alive", "runs"), length).withColumn("pid", F.xxhash64("t", F.col("anchor") - STEP * F.col("block"))), "blocks")
+    all_of = _repeated(blocks.where("whole is not null"), "whole").select("whole", F.col("rank").alias("least"))
+    marked = written(blocks.join(all_of, "whole", "left").withColumn("all", F.col("least").isNotNull()), "marked")
+    # settled blocks still serve as the other occurrence for those of their kind that are not: one of each content,
+    # with every string of it
+    kinds = marked.groupBy("inside").agg(F.max(F.col("free") & ~F.col("all")).alias("open"), F.min("pid").alias("p0"), F.max("pid").alias("p1"))
+    useful = marked.where(~F.col("all") | (F.col("pid") == F.col("least"))).join(kinds.where("open and p0 <> p1").select("inside"), "inside")
+    high = F.col("anchor") - STEP * F.col("block")
+    useful = useful.withColumn("low", F.when(F.col("all"), high - STEP + 1).otherwise(F.col("low"))).withColumn("high", F.when(F.col("all"), high).otherwise(F.col("high")))
+    chosen = useful.groupBy("t").agg(F.collect_set(F.struct("low", "high")).alias("x"))
+    chosen = written(chosen, "chosen")
+    settled = marked.where("all and free").groupBy("t").agg(F.collect_list(F.struct("low", "high")).alias("blocks"))
     picked = long.join(_limited(chosen, chosen.count()), "t").dropDuplicates(["t"])
     windows = written(_windows(picked.select("t", "text", "x"), length).withColumn("pid", F.xxhash64("t", "start")), "windows")
     again = windows.join(_repeated(windows, "a", "b"), ["a", "b"]).groupBy("t").agg(F.collect_list("start").alias("starts"))
     twice = long.groupBy("t").agg(F.count("*").alias("n")).where("n > 1").select("t", F.lit(True).alias("whole"))
-    parts = known.where("runs is not null").select("t", "runs").join(again, "t", "full").join(twice, "t", "full")
-    return parts.select("t", F.coalesce("whole", F.lit(False)).alias("whole"), "starts", "runs")
+    parts = known.where("runs is not null").select("t", "runs").join(again, "t", "full").join(settled, "t", "full").join(twice, "t", "full")
+    return parts.select("t", F.coalesce("whole", F.lit(False)).alias("whole"), "starts", "blocks", "runs")
 
 
-def removed_ranges(text: bytes, whole: bool, starts: list[int] | None, runs: list[int] | None, length: int) -> list[tuple[int, int]]:
+def removed_ranges(text: bytes, whole: bool, starts: list[int] | None, blocks: list[dict[str, int]] | None, runs: list[int] | None, length: int) -> list[tuple[int, int]]:
     """Maximal byte ranges that go."""
     if whole:
         return [(0, len(text))]
-    ranges = np.array([(s, s + length) for s in starts or []], np.int64).reshape(-1, 2)
+    found = [(s, s + length) for s in starts or []] + [(x["low"], x["high"] + length) for x in blocks or []]
+    ranges = np.array(found, np.int64).reshape(-1, 2)
     if runs:
         ranges = np.concatenate([ranges, covered(anchors_of([text], length)[0][0], runs, length)])
     return merge_ranges(ranges)
 
 
-def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = 400, chunk: int = 1_000_000) -> DataFrame:
-    """One row for each row of ``docs``: id, text, kept_text, n_bytes, n_removed, n_spans, kept_sha256, and __row.
+def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = 400, chunk: int = 1_000_000, carry: tuple[str, ...] = ()) -> DataFrame:
+    """One row for each row of ``docs``: id, text, kept_text, n_bytes, n_removed, n_spans, kept_sha256, and the columns to ``carry``.
 
     Texts are UTF-8 bytes, null is empty; matches never cross documents; a byte goes if any string of
     ``length`` bytes over it also starts elsewhere, in the same document or another, judged on the input.
     ``kept_sha256`` is of the bytes left; ``kept_text`` is those as text, without the pieces of characters that
     a cut has split, and null for a null text. Null ids stay null; repeated rows are copies of each other; an
-    empty table gives no rows. Only the id and the text are read.
+    empty table gives no rows. Only the id, the text and what is carried are read.
     """
     found = written(find_repeats(docs, text_col, length, chunk), "repeats")
-    rows = docs.select(F.col(id_col), F.col(text_col).alias("text"), _text_key(text_col).alias("t"))
-    joined = rows.join(_limited(found, found.count()), "t", "left").drop("t")
-    schema = joined.select(id_col, "text", F.col("text").alias("kept_text"), *(F.lit(0).cast("long").alias(c) for c in ("n_bytes", "n_removed", "n_spans")), F.lit("").alias("kept_sha256")).schema
+    extra = [f"__carry{k}" for k in range(len(carry))]
+    rows = docs.select(F.col(id_col), F.col(text_col).alias("text"), _text_key(text_col).alias("t"), *[F.col(c).alias(x) for c, x in zip(carry, extra)])
+    joined = rows.join(_limited(found, found.count()), "t", "left").select(id_col, "text", "whole", "starts", "blocks", "runs", *extra)
+    schema = joined.select(id_col, "text", F.col("text").alias("kept_text"), *(F.lit(0).cast("long").alias(c) for c in ("n_bytes", "n_removed", "n_spans")), F.lit("").alias("kept_sha256"), *extra).schema
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, "text", 8 * chunk):
             texts = byte_strings(batch, "text")
             kept, counts, spans = [], [], []
-            for text, whole, starts, runs in zip(texts, *(batch.column(k).to_pylist() for k in (2, 3, 4))):
-                ranges = removed_ranges(text, whole, starts, runs, length) if whole or starts or runs else []
+            for text, whole, *found in zip(texts, *(batch.column(k).to_pylist() for k in (2, 3, 4, 5))):
+                ranges = removed_ranges(text, whole, *found, length) if whole or any(found) else []
                 spans.append(len(ranges))
                 counts.append(sum(b - a for a, b in ranges))
                 if ranges:
@@ -342,6 +342,7 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
             out = [None if no else x.decode("utf-8", "ignore") for no, x in zip(null, kept)]
             digest = [hashlib.sha256(x).hexdigest() for x in kept]
             numbers = [pa.array(x, pa.int64()) for x in ([len(x) for x in texts], counts, spans)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(out, pa.string()), *numbers, pa.array(digest, pa.string())], names=[id_col, "text", "kept_text", "n_bytes", "n_removed", "n_spans", "kept_sha256"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(out, pa.string()), *numbers, pa.array(digest, pa.string()), *batch.columns[6:]], names=schema.names)
 
-    return joined.mapInArrow(cut, schema)
+    out = joined.mapInArrow(cut, schema)
+    return out.select(*out.columns[: len(out.columns) - len(carry)], *[F.col(x).alias(c) for c, x in zip(carry, extra)])
