@@ -265,9 +265,10 @@ def find_repeats(docs: DataFrame, text_col: str = "text", length: int = 400, chu
     alive = state.select("t", F.col("i").alias("alive"))
     runs, span = [], 1
     while not state.isEmpty():
-        pairs = written(_pairs(state, span).withColumn("pid", position), "pairs")
-        same = _repeated(pairs, "last", "a", "b")
-        kept = written(pairs.join(same, ["last", "a", "b"]).select("t", "i", "need", "last", "rank"), "ranks")
+        # last pairs overlap: a and b are the whole run only among runs of equally many phrases
+        pairs = written(_pairs(state, span).withColumn("pid", position).withColumn("size", F.when(F.col("last"), F.col("need")).otherwise(0)), "pairs")
+        same = _repeated(pairs, "last", "size", "a", "b")
+        kept = written(pairs.join(same, ["last", "size", "a", "b"]).select("t", "i", "need", "last", "rank"), "ranks")
         runs.append(kept.where("last").select("t", "i"))
         grouped = kept.where("not last").groupBy("t").agg(F.collect_list(F.struct("i", "need", "rank")).alias("x"))
         state = grouped.select("t", "x.i", "x.need", "x.rank")

@@ -61,6 +61,19 @@ def test_suffix_edge_cases(spark, broadcast, monkeypatch):
         s.find_repeats(table, length=100)
 
 
+def test_suffix_runs_of_unequal_length(spark):
+    """A header and a footer in common around rows that repeat n or n + 1 times: ends agree, lengths do not."""
+    rng = random.Random(5)
+    noise = lambda k: "".join(rng.choices("abcdefgh é", k=k))
+    texts = []
+    for n in range(5, 25):
+        header, row, footer = noise(150), noise(20), noise(150)
+        texts += [noise(200) + header + row * k + footer + noise(200) for k in (n, n + 1)]
+    table = spark.createDataFrame([(k, t) for k, t in enumerate(texts)], "doc_id long, text string")
+    got = {r.doc_id: (r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in s.remove_repeats(table).collect()}
+    assert got == dict(enumerate(brute_repeats([t.encode() for t in texts])))
+
+
 def shingles(text):
     words = (text or "").translate({c: c + 32 for c in range(65, 91)}).replace("\x0b", " ")
     words = [w for w in __import__("re").split(r"[\x20\x09-\x0D]+", words) if w]
