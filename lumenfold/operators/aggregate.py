@@ -11,6 +11,9 @@ from pyspark.sql import functions as F
 
 from lumenfold.functions.scoring import WEIGHTS, plain_mean, weighted_mean
 
+#: Up to so many labels of a grid's column axis are broadcast.
+BROADCAST_LABELS = 10_000
+
 
 def per_judge(rows: DataFrame, keys: list[str], criteria: list[str], flags: list[str] = [], carry: list[str] = []) -> DataFrame:  # noqa: B006
     """Duplicate judgements of one judge: criteria averaged, flags ORed (null if none is known), rows counted."""
@@ -87,9 +90,13 @@ def quota_status(counts: DataFrame, by: str, kinds: list[str], kind: str, target
 def full_grid(cells: DataFrame, row: str, column: str) -> DataFrame:
     """Every value of ``row`` with every value of ``column``, empty cells null.
 
-    Both sides are distinct labels of a report; the product has one row for each cell of the table.
+    Both sides are distinct labels of a report; the product has one row for each cell of the table. Up to
+    ``BROADCAST_LABELS`` columns are broadcast after they have been counted; beyond, the product is not.
     """
-    grid = cells.select(row).distinct().crossJoin(F.broadcast(cells.select(column).distinct().limit(10_000)))
+    labels = cells.select(column).distinct()
+    if labels.limit(BROADCAST_LABELS + 1).count() <= BROADCAST_LABELS:
+        labels = F.broadcast(labels)
+    grid = cells.select(row).distinct().crossJoin(labels)
     return grid.join(cells, [row, column], "left")
 
 
