@@ -129,7 +129,7 @@ def token_cost(spark: SparkSession, sf_dir: str) -> DataFrame:
 def jury_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     cols = {c: F.col(c) for c in CRITERIA}
     absent = F.concat(F.lit("["), F.array_join(s.missing(cols), ", "), F.lit("]"))
-    return rounded(judgements(spark, sf_dir).where("item % 5 = 0").select("l_orderkey", "l_linenumber", "l_suppkey", "item", s.weighted_mean(cols).alias("jury"), absent.alias("absent")))
+    return rounded(judgements(spark, sf_dir).select("l_orderkey", "l_linenumber", "l_suppkey", "item", s.weighted_mean(cols).alias("jury"), absent.alias("absent")))
 
 
 @query("""SELECT c_custkey, greatest(1.0, least(5.0, c_acctbal / 2000)) AS clamped, CASE WHEN c_acctbal <= 0 THEN 99 ELSE round_even((least(5.0, c_acctbal / 2000) - 1) / 4 * 9 + 1, 0)::INT END AS quality,
