@@ -28,3 +28,7 @@ def test_grid_of_many_labels(spark, bound, monkeypatch):
 
 def test_jury_scores(spark):
     assert whole(spark, "jury_scores", " WHERE item % 5 = 0") == ""
+
+
+def test_bh_adjust(spark):
+    assert whole(spark, "bh_adjust", " WHERE p_partkey < 400") == ""
