@@ -191,7 +191,7 @@ def phantom_slots(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("SELECT d.doc_id, coalesce(l.quality, g.quality) AS quality FROM documents d LEFT JOIN labels l USING (doc_id) LEFT JOIN (SELECT lang, min(quality) AS quality FROM documents JOIN labels USING (doc_id) WHERE doc_id < 100 GROUP BY lang) g ON g.lang = d.lang")
 def fallback_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, labels = table(spark, sf_dir, "documents").select("doc_id", "lang"), table(spark, sf_dir, "labels")
-    coarse = docs.where("doc_id < 100").join(labels, "doc_id").groupBy("lang").agg(F.min("quality").alias("quality"))
+    coarse = docs.join(labels, "doc_id").groupBy("lang").agg(F.min("quality").alias("quality"))
     return d.with_fallback(docs, [(labels, ["doc_id"]), (coarse, ["lang"])], "quality").select("doc_id", "quality")
 
 

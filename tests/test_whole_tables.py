@@ -32,3 +32,12 @@ def test_jury_scores(spark):
 
 def test_bh_adjust(spark):
     assert whole(spark, "bh_adjust", " WHERE p_partkey < 400") == ""
+
+
+def test_fallback_lookup(spark, tmp_path):
+    docs = [(1, "de"), (2, "de"), (150, "de"), (200, "fr"), (201, "fr"), (202, "fr"), (300, "en")]
+    spark.createDataFrame(docs, "doc_id long, lang string").write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([(1, 1, 0), (150, 0, 0), (200, 1, 0), (201, 1, 0)], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    got = {r.doc_id: r.quality for r in QUERIES["fallback_lookup"](spark, str(tmp_path)).collect()}
+    assert got == {1: 1, 2: 0, 150: 0, 200: 1, 201: 1, 202: 1, 300: None}
+    assert whole(spark, "fallback_lookup", " WHERE doc_id < 100") == ""
