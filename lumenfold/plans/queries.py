@@ -151,7 +151,7 @@ def latest_per_key(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("""WITH u AS (SELECT c_nationkey AS nation, c_name AS name, 0 AS tab, c_custkey AS seq FROM customer WHERE c_nationkey % 2 = 0 UNION ALL SELECT s_nationkey, s_name, 1, s_suppkey FROM supplier)
 SELECT nation, name, seq FROM (SELECT *, row_number() OVER (PARTITION BY nation ORDER BY tab, seq) AS r FROM u) WHERE r = 1""")
 def manifest_first_wins(spark: SparkSession, sf_dir: str) -> DataFrame:
-    first = table(spark, sf_dir, "customer").where("c_nationkey % 2 = 0").select(F.col("c_nationkey").alias("nation"), F.col("c_name").alias("name"), F.col("c_custkey").alias("seq"))
+    first = table(spark, sf_dir, "customer").select(F.col("c_nationkey").alias("nation"), F.col("c_name").alias("name"), F.col("c_custkey").alias("seq"))
     second = table(spark, sf_dir, "supplier").select(F.col("s_nationkey").alias("nation"), F.col("s_name").alias("name"), F.col("s_suppkey").alias("seq"))
     return d.union_first_wins([first, second], ["nation"], ["seq"])
 
@@ -175,7 +175,7 @@ def slot_upsert(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("SELECT s_suppkey, s_name, coalesce(m.n, 0) AS matches, CASE WHEN m.n = 1 THEN m.k END AS c_custkey FROM supplier LEFT JOIN (SELECT c_nationkey % 100 AS g, count(*) AS n, min(c_custkey) AS k FROM customer WHERE c_acctbal > 9800 GROUP BY 1) m ON s_nationkey = m.g")
 def unique_title_match(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = table(spark, sf_dir, "supplier").select("s_suppkey", "s_name", F.col("s_nationkey").alias("g"))
-    target = table(spark, sf_dir, "customer").where("c_acctbal > 9800").select((F.col("c_nationkey") % 100).alias("g"), "c_custkey")
+    target = table(spark, sf_dir, "customer").select((F.col("c_nationkey") % 100).alias("g"), "c_custkey")
     return d.unique_match(rows, target, "g", "c_custkey").drop("g")
 
 

@@ -4,6 +4,7 @@ import pytest
 from oracle import compare
 
 from lumenfold.operators import aggregate as a
+from lumenfold.operators import dedup as d
 from lumenfold.plans.queries import ORACLE_SQL, QUERIES
 
 SF = "/root/testdata/sf0.01"
@@ -41,3 +42,19 @@ def test_fallback_lookup(spark, tmp_path):
     got = {r.doc_id: r.quality for r in QUERIES["fallback_lookup"](spark, str(tmp_path)).collect()}
     assert got == {1: 1, 2: 0, 150: 0, 200: 1, 201: 1, 202: 1, 300: None}
     assert whole(spark, "fallback_lookup", " WHERE doc_id < 100") == ""
+
+
+def test_manifest_first_wins(spark):
+    assert whole(spark, "manifest_first_wins", " WHERE c_nationkey % 2 = 0") == ""
+
+
+def test_unique_title_match(spark):
+    assert whole(spark, "unique_title_match", " WHERE c_acctbal > 9800") == ""
+
+
+def test_missing_keys_and_single_matches(spark):
+    """What the filters had shaped: keys of one table only, keys that match once, often or not at all."""
+    first, second = spark.createDataFrame([(0, "a", 2), (0, "b", 1)], "k int, name string, seq int"), spark.createDataFrame([(0, "c", 0), (1, "d", 5)], "k int, name string, seq int")
+    assert sorted((r.k, r.name) for r in d.union_first_wins([first, second], ["k"], ["seq"]).collect()) == [(0, "b"), (1, "d")]
+    rows, target = spark.createDataFrame([(0,), (1,), (2,)], "k int"), spark.createDataFrame([(0, 7), (1, 8), (1, 9)], "k int, v int")
+    assert sorted((r.k, r.matches, r.v) for r in d.unique_match(rows, target, "k", "v").collect()) == [(0, 1, 7), (1, 2, None), (2, 0, None)]
