@@ -15,7 +15,7 @@ w AS (SELECT DISTINCT item, least(13, len(words)) AS n, array_to_string(words[k:
 p AS (SELECT r, n, k, array_to_string(words[k:k + n - 1], ' ') AS g
   FROM (SELECT r, words, n, unnest(range(1, len(words) - n + 2)) AS k FROM d, (SELECT DISTINCT n FROM w) WHERE len(words) >= n)),
 h AS (SELECT DISTINCT r, item, k, n FROM p JOIN w USING (n, g)),
-c AS (SELECT r, count(DISTINCT at) AS n_hit FROM (SELECT r, unnest(range(k, k + n)) AS at FROM h) GROUP BY r),
+c AS (SELECT r, count(DISTINCT place) AS n_hit FROM (SELECT r, unnest(range(k, k + n)) AS place FROM h) GROUP BY r),
 t AS (SELECT r, count(*) AS n_items, sha256(string_agg(item, ',' ORDER BY item)) AS digest FROM (SELECT DISTINCT r, item FROM h) GROUP BY r)
 SELECT doc_id, len(words)::BIGINT AS n_words, coalesce(n_hit, 0)::BIGINT AS n_hit, coalesce(n_items, 0)::BIGINT AS n_items,
   coalesce(digest, sha256('')) AS items_sha256, coalesce(n_hit, 0) > 0 AND 20 * coalesce(n_hit, 0) >= len(words) AS contaminated
@@ -27,8 +27,8 @@ WITH d AS (SELECT doc_id, regexp_extract_all({_LOWER.format('text')}, '[^\\x20\\
 s AS (SELECT DISTINCT doc_id, array_to_string(words[k:k + 4], ' ') AS g
   FROM (SELECT *, unnest(range(1, greatest(1, len(words) - 4) + 1)) AS k FROM d WHERE len(words) > 0)),
 n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
-both AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS m FROM s a JOIN s b USING (g) WHERE a.doc_id <> b.doc_id GROUP BY ALL),
-e AS (SELECT a, b FROM both JOIN n x ON a = x.doc_id JOIN n y ON b = y.doc_id WHERE 100 * m >= 75 * (x.n + y.n - m)),
+shared_pairs AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS m FROM s a JOIN s b USING (g) WHERE a.doc_id <> b.doc_id GROUP BY ALL),
+e AS (SELECT a, b FROM shared_pairs JOIN n x ON a = x.doc_id JOIN n y ON b = y.doc_id WHERE 100 * m >= 75 * (x.n + y.n - m)),
 r AS (WITH RECURSIVE q(a, b) AS (SELECT a, b FROM e UNION SELECT q.a, e.b FROM q JOIN e ON q.b = e.a) SELECT a, min(b) AS least FROM q GROUP BY a)
 SELECT d.doc_id, coalesce(n, 0)::BIGINT AS n_shingles, least(d.doc_id, coalesce(r.least, d.doc_id)) AS component_id, d.doc_id = least(d.doc_id, coalesce(r.least, d.doc_id)) AS kept
 FROM d LEFT JOIN n USING (doc_id) LEFT JOIN r ON r.a = d.doc_id
@@ -51,10 +51,10 @@ SELECT conv_id, n_turns, turns_sha256, length(loss) AS loss_chars, sha256(loss)
 
 VECTOR_SEARCH = """
 WITH v AS (
-  SELECT vec_id, list_transform(embedding, x -> floor(64 * x::DOUBLE)::BIGINT) AS e FROM embeddings
-  WHERE vec_id IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, x -> x IS NULL OR NOT isfinite(x))) = 0
+  SELECT vec_id, list_transform(embedding, lambda x: floor(64 * x::DOUBLE)::BIGINT) AS e FROM embeddings
+  WHERE vec_id IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
 ), p AS (
-  SELECT q.vec_id AS query_id, c.vec_id, list_sum(list_transform(list_zip(q.e, c.e), z -> z[1] * z[2]))::BIGINT AS score
+  SELECT q.vec_id AS query_id, c.vec_id, list_sum(list_transform(list_zip(q.e, c.e), lambda z: z[1] * z[2]))::BIGINT AS score
   FROM v q JOIN v c ON q.vec_id % 20 = 0 AND c.vec_id <> q.vec_id
 ), r AS (
   SELECT query_id, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id)::INTEGER AS "rank", vec_id, score FROM p
