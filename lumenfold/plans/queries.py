@@ -82,7 +82,7 @@ def criterion_means(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(a.criterion_means(_items(spark, sf_dir)))
 
 
-@query(f"WITH {JUDGEMENTS_SQL}, m AS (SELECT p_brand, provider, avg(faithfulness) AS score, count(*) AS n FROM judgements JOIN part ON item = p_partkey WHERE item % 40 < 3 GROUP BY ALL), g AS (SELECT DISTINCT x.p_brand, y.provider FROM m x, m y) SELECT g.p_brand, g.provider, round(score, 6) AS score, n FROM g LEFT JOIN m USING (p_brand, provider)")
+@query(f"WITH {JUDGEMENTS_SQL}, m AS (SELECT p_brand, provider, avg(faithfulness) AS score, count(*) AS n FROM judgements JOIN part ON item = p_partkey GROUP BY ALL), g AS (SELECT DISTINCT x.p_brand, y.provider FROM m x, m y) SELECT g.p_brand, g.provider, round(score, 6) AS score, n FROM g LEFT JOIN m USING (p_brand, provider)")
 def covariate_grid(spark: SparkSession, sf_dir: str) -> DataFrame:
     part = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("item"), "p_brand")
     cells = judgements(spark, sf_dir).join(part, "item").groupBy("p_brand", "provider").agg(F.avg("faithfulness").alias("score"), F.count("*").alias("n"))
@@ -125,7 +125,7 @@ def token_cost(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(rows.groupBy("provider").agg(F.count("*").alias("n"), F.sum(cost).alias("usd")))
 
 
-@query(f"WITH {JUDGEMENTS_SQL} SELECT l_orderkey, l_linenumber, l_suppkey, item, round(CASE WHEN {_WB} > 0 THEN ({_W})::DOUBLE / ({_WB}) END, 6) AS jury, list_filter([{', '.join(f'CASE WHEN {c} IS NULL THEN {chr(39)}{c}{chr(39)} END' for c in CRITERIA)}], lambda x: x IS NOT NULL)::VARCHAR AS absent FROM judgements WHERE item % 5 = 0")
+@query(f"WITH {JUDGEMENTS_SQL} SELECT l_orderkey, l_linenumber, l_suppkey, item, round(CASE WHEN {_WB} > 0 THEN ({_W})::DOUBLE / ({_WB}) END, 6) AS jury, list_filter([{', '.join(f'CASE WHEN {c} IS NULL THEN {chr(39)}{c}{chr(39)} END' for c in CRITERIA)}], lambda x: x IS NOT NULL)::VARCHAR AS absent FROM judgements")
 def jury_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     cols = {c: F.col(c) for c in CRITERIA}
     absent = F.concat(F.lit("["), F.array_join(s.missing(cols), ", "), F.lit("]"))
@@ -148,7 +148,7 @@ def latest_per_key(spark: SparkSession, sf_dir: str) -> DataFrame:
     return d.last_by(table(spark, sf_dir, "events").select("event_id", "ts", "user_id", "event_type", "value"), ["user_id", "event_type"], ["ts", "event_id"])
 
 
-@query("""WITH u AS (SELECT c_nationkey AS nation, c_name AS name, 0 AS tab, c_custkey AS seq FROM customer WHERE c_nationkey % 2 = 0 UNION ALL SELECT s_nationkey, s_name, 1, s_suppkey FROM supplier)
+@query("""WITH u AS (SELECT c_nationkey AS nation, c_name AS name, 0 AS tab, c_custkey AS seq FROM customer UNION ALL SELECT s_nationkey, s_name, 1, s_suppkey FROM supplier)
 SELECT nation, name, seq FROM (SELECT *, row_number() OVER (PARTITION BY nation ORDER BY tab, seq) AS r FROM u) WHERE r = 1""")
 def manifest_first_wins(spark: SparkSession, sf_dir: str) -> DataFrame:
     first = table(spark, sf_dir, "customer").select(F.col("c_nationkey").alias("nation"), F.col("c_name").alias("name"), F.col("c_custkey").alias("seq"))
@@ -172,7 +172,7 @@ def slot_upsert(spark: SparkSession, sf_dir: str) -> DataFrame:
     return d.upsert(table(spark, sf_dir, "labels"), changes, ["doc_id"])
 
 
-@query("SELECT s_suppkey, s_name, coalesce(m.n, 0) AS matches, CASE WHEN m.n = 1 THEN m.k END AS c_custkey FROM supplier LEFT JOIN (SELECT c_nationkey % 100 AS g, count(*) AS n, min(c_custkey) AS k FROM customer WHERE c_acctbal > 9800 GROUP BY 1) m ON s_nationkey = m.g")
+@query("SELECT s_suppkey, s_name, coalesce(m.n, 0) AS matches, CASE WHEN m.n = 1 THEN m.k END AS c_custkey FROM supplier LEFT JOIN (SELECT c_nationkey % 100 AS g, count(*) AS n, min(c_custkey) AS k FROM customer GROUP BY 1) m ON s_nationkey = m.g")
 def unique_title_match(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = table(spark, sf_dir, "supplier").select("s_suppkey", "s_name", F.col("s_nationkey").alias("g"))
     target = table(spark, sf_dir, "customer").select((F.col("c_nationkey") % 100).alias("g"), "c_custkey")
@@ -188,7 +188,7 @@ def phantom_slots(spark: SparkSession, sf_dir: str) -> DataFrame:
     return d.phantoms(pending, requests, sizes, "l_suppkey", "o_orderkey", "n")
 
 
-@query("SELECT d.doc_id, coalesce(l.quality, g.quality) AS quality FROM documents d LEFT JOIN labels l USING (doc_id) LEFT JOIN (SELECT lang, min(quality) AS quality FROM documents JOIN labels USING (doc_id) WHERE doc_id < 100 GROUP BY lang) g ON g.lang = d.lang")
+@query("SELECT d.doc_id, coalesce(l.quality, g.quality) AS quality FROM documents d LEFT JOIN labels l USING (doc_id) LEFT JOIN (SELECT lang, min(quality) AS quality FROM documents JOIN labels USING (doc_id) GROUP BY lang) g ON g.lang = d.lang")
 def fallback_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, labels = table(spark, sf_dir, "documents").select("doc_id", "lang"), table(spark, sf_dir, "labels")
     coarse = docs.join(labels, "doc_id").groupBy("lang").agg(F.min("quality").alias("quality"))
@@ -513,7 +513,7 @@ def wilcoxon_q(spark: SparkSession, sf_dir: str) -> DataFrame:
     return st.benjamini_hochberg(_wilcoxon(spark, sf_dir).select("judge", "n", "p"), [], "p")
 
 
-@query("""WITH p AS (SELECT p_brand, p_partkey, (p_size * 7 % 50 + 1) / 51.0 AS p FROM part WHERE p_partkey < 400), r AS (SELECT *, p * count(*) OVER (PARTITION BY p_brand) / count(*) OVER (PARTITION BY p_brand ORDER BY p RANGE BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS raw FROM p)
+@query("""WITH p AS (SELECT p_brand, p_partkey, (p_size * 7 % 50 + 1) / 51.0 AS p FROM part), r AS (SELECT *, p * count(*) OVER (PARTITION BY p_brand) / count(*) OVER (PARTITION BY p_brand ORDER BY p RANGE BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS raw FROM p)
 SELECT p_brand, p_partkey, round(p, 6) AS p, round(least(1.0, min(raw) OVER (PARTITION BY p_brand ORDER BY p DESC RANGE BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)), 4) AS q FROM r""")
 def bh_adjust(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = table(spark, sf_dir, "part").select("p_brand", "p_partkey", ((F.col("p_size") * 7 % 50 + 1) / 51.0).alias("p"))
