@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import gc
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from typing import Any
 
 import numpy as np
 import pyarrow as pa
@@ -12,6 +14,20 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
+#: What a Python worker keeps from task to task, one entry at a time: the operator that runs.
+_KEPT: dict[tuple[str, ...], object] = {}
+
+
+def kept(key: tuple[str, ...], make: Callable[[], Any]) -> Any:
+    """What ``make`` gives, made once a worker; what operators before this one have kept is dropped."""
+    if key not in _KEPT:
+        _KEPT.clear()
+        gc.collect()
+        pa.default_memory_pool().release_unused()
+        _KEPT[key] = make()
+    return _KEPT[key]
+
+
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
@@ -19,11 +35,13 @@ def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def shared_path(spark: SparkSession, label: str) -> str:
     """A fresh folder that the driver and every executor can reach.
 
-    The cluster names the parent in ``spark.checkpoint.dir``; only where that is unset
-    (tests, a laptop) is a local folder chosen.
+    The cluster names the parent in ``spark.checkpoint.dir``; only where that is unset and all runs on
+    one machine (tests, a laptop) is a local folder chosen.
     """
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
+        if not spark.sparkContext.master.startswith("local["):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         root = f"/tmp/checkpoints/{spark.sparkContext.applicationId}"
     return f"{root.rstrip('/')}/lumenfold-{label}-{uuid.uuid4().hex}"
 
@@ -36,6 +54,36 @@ def written(df: DataFrame, label: str, **options: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def spent(*tables: DataFrame) -> None:
+    """Delete the files of tables that :func:`written` made and nothing reads again, and let go of old shuffles."""
+    for df in tables:
+        spark = df.sparkSession
+        for folder in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
+            path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+            path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+    if tables:  # shuffle files go when the plans that made them are collected
+        gc.collect()
+        tables[0].sparkSession._jvm.java.lang.System.gc()
+
+
+def least_ids(rows: DataFrame, id_col: str, class_col: str, each: int) -> list[tuple[Any, Any]]:
+    """For each class at most ``each`` distinct ids, those of the least hash: (id, class) in order.
+
+    Only ids and classes are shuffled, and about as many ids as are wanted reach the driver: a bound on the
+    hash is computed from the counts, six deviations above what would do.
+    """
+    ids = rows.select(id_col, class_col).distinct()
+    share = F.lit(0.0)
+    for r in ids.groupBy(class_col).count().collect():
+        part = min(1.0, (each + 6 * each**0.5 + 50) / r["count"])
+        share = F.when(F.col(class_col) == r[class_col], F.lit(part)).otherwise(share)
+    number = F.xxhash64(F.col(id_col))
+    found: dict[Any, list[tuple[Any, Any]]] = {}
+    for r in ids.where(F.pmod(number, F.lit(1 << 52)) < share * float(1 << 52)).select(id_col, class_col, F.pmod(number, F.lit(1 << 52)).alias("__n")).orderBy("__n", id_col).collect():
+        found.setdefault(r[class_col], []).append((r[id_col], r[class_col]))
+    return [x for name in sorted(found) for x in found[name][:each]]
+
+
 def id_fold(column: Column | str) -> Column:
     """crc32 of an id written as text, modulo 3: remainder 1 is held out."""
     return F.pmod(F.crc32(F.col(column).cast("string") if isinstance(column, str) else column.cast("string")), F.lit(3))
