@@ -51,7 +51,7 @@ def op7_token_output(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op8_piece_encoding(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read_table(spark, sf_dir, "documents")
-    back = piece_encoding.decode_pieces(piece_encoding.encode_pieces(docs))
+    back = piece_encoding.round_trip(docs)
     return back.select("doc_id", "n_tokens", "ids_crc32", F.length("text").cast("long").alias("n_chars"), _sha256(F.col("text")).alias("text_sha256"))
 
 
