@@ -11,21 +11,31 @@ words. Bounds are taken coarse to fine; only pairs whose bound reaches the query
 to the next resolution and in the end to the exact integer product. The threshold of a query is its
 k-th best exact score among a first block of candidates, and rises as a task meets better ones.
 
-Queries are a stated set and are taken in blocks of a bounded number, each block one broadcast; the
-candidates are never shuffled. Each task returns at most k rows for a query.
+Bounds are cosines: vectors are divided by their norms (in double precision) before they are rounded to single
+precision, so an error of rounding is a known share of both norms, whatever the components' signs or sizes.
+
+Queries are a stated set and are taken in groups of a bounded number, each group one broadcast and one scan whose
+results are written before the next one starts; the candidates are never shuffled. Each task returns at most k rows for a query.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from itertools import islice
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark import Broadcast
+from pyspark.sql import DataFrame, Row, Window
 from pyspark.sql import functions as F
 
-#: A bound may be off by rounding; pairs within this share of it are kept.
-_SLACK = 1e-5
+from lumenfold.llm.common import written
+
+
+
+def slack(parts: int) -> float:
+    """How far a cosine bound of so many segments may be off, rounding of its parts and of their sum included."""
+    return (2 * parts + 16) * 2.0**-23
 
 
 def quantise(vectors: list[list[float] | None]) -> tuple[list[int], list[np.ndarray]]:
@@ -42,18 +52,24 @@ def quantise(vectors: list[list[float] | None]) -> tuple[list[int], list[np.ndar
 
 
 class Statistics:
-    """Means and deviations of the segments of the rows of a matrix, by number of segments."""
+    """Norms of the rows of a matrix; means and deviations of the segments of the rows divided by them, by number of segments."""
 
     def __init__(self, matrix: np.ndarray, levels: list[int]):
         self.parts = {}
+        with np.errstate(over="ignore", divide="ignore", invalid="ignore"):
+            self.norm = np.sqrt((matrix * matrix).sum(1))
+            self.inverse = np.where(self.norm > 0, 1 / self.norm, 0.0)
+            unit = matrix * self.inverse[:, None]
+        self.exact = ~np.isfinite(self.norm)  # too large for bounds: always compared
+        unit[self.exact] = 0
         for n in levels:
             edges = np.linspace(0, matrix.shape[1], n + 1).astype(int)
             size = np.diff(edges)
-            sums = np.add.reduceat(matrix, edges[:-1], axis=1)
-            squares = np.add.reduceat(matrix * matrix, edges[:-1], axis=1)
-            deviation = np.sqrt(np.maximum(squares - sums * sums / size, 0))
+            mean = np.add.reduceat(unit, edges[:-1], axis=1) / size
+            rest = unit - np.repeat(mean, size, axis=1)
+            deviation = np.sqrt(np.add.reduceat(rest * rest, edges[:-1], axis=1))
             # one product of these two gives m * mean * mean + deviation * deviation
-            self.parts[n] = np.concatenate([sums / np.sqrt(size), deviation], axis=1).astype(np.float32)
+            self.parts[n] = np.concatenate([mean * np.sqrt(size), deviation], axis=1).astype(np.float32)
 
 
 def levels_of(width: int) -> list[int]:
@@ -85,16 +101,22 @@ class Block:
         """Which (query, candidate) pairs no bound has ruled out, coarse to fine."""
         own = Statistics(rows, self.levels)
         alive = np.ones((len(self.ids), len(rows)), bool)
+        # a pair can reach the threshold only if its cosine reaches threshold / norms
+        least = np.clip(threshold - 0.5, -1e300, 1e300) * self.statistics.inverse
         for level in self.levels:
+            off = slack(level)
             if alive.mean() > 0.05:  # dense: one product for all pairs
                 bound = self.statistics.parts[level] @ own.parts[level].T
-                alive &= bound + _SLACK * np.abs(bound) + 0.5 >= threshold[:, None]
+                bound += np.float32(off)
+                alive &= bound >= np.multiply.outer(least, own.inverse)
             else:
                 q, at = np.nonzero(alive)
                 for k in range(0, len(q), 100_000):
                     qk, ak = q[k : k + 100_000], at[k : k + 100_000]
                     bound = np.einsum("ij,ij->i", self.statistics.parts[level][qk], own.parts[level][ak])
-                    alive[qk, ak] = bound + _SLACK * np.abs(bound) + 0.5 >= threshold[qk]
+                    alive[qk, ak] = bound + off >= least[qk] * own.inverse[ak]
+            alive[self.statistics.exact] = True
+            alive[:, own.exact] = True
         return alive
 
     def search(self, ids: np.ndarray, rows: np.ndarray, best: dict[int, tuple[np.ndarray, np.ndarray]], k: int, threshold: np.ndarray) -> None:
@@ -143,6 +165,7 @@ def top_k(
     block: int = 4096,
     first: int = 4096,
     chunk: int = 4096,
+    group: int = 8,
 ) -> DataFrame:
     """The ``k`` best candidates of each query: query_id, rank, vec_id, score.
 
@@ -152,7 +175,7 @@ def top_k(
     vectors of another width than the query's are not its candidates. A query with fewer than ``k``
     candidates gets them all. Repeated rows: a query id gives one query (any row of it with the
     smallest vector), a candidate's repeated rows count each. A product beyond 64 bits raises.
-    Other columns are not read.
+    Other columns are not read. ``group`` blocks of ``block`` queries are broadcast at a time.
     """
     spark = vectors.sparkSession
     some = vectors.where(F.col(id_col).isNotNull() & F.col(vector_col).isNotNull()).select(F.col(id_col).cast("long").alias("__id"), F.col(vector_col).alias("__vector"))
@@ -162,45 +185,56 @@ def top_k(
     head_at, head = quantise([r["__vector"] for r in head_rows])
     head_by = _by_width([head_rows[j]["__id"] for j in head_at], head)
     schema = "query_id long, vec_id long, score long"
-    found: DataFrame | None = None
-
-    def part(batch_ids: list[int], batch_vectors: list[list[float]]) -> DataFrame:
-        at, values = quantise(batch_vectors)
-        blocks = {w: Block(*x) for w, x in _by_width([batch_ids[j] for j in at], values).items()}
-        for w, own in blocks.items():
-            if w in head_by:  # a bounded first block gives each query its k-th best so far
-                ids, matrix = head_by[w]
-                score = products(own.matrix, matrix).astype(np.float64)
-                score[own.ids[:, None] == ids[None, :]] = -np.inf
-                if score.shape[1] >= k:
-                    own.threshold = np.partition(score, -k, axis=1)[:, -k]
-        shared = spark.sparkContext.broadcast(blocks)
+
+    def blocks_of(asked_rows: list[Row]) -> dict[int, list[Block]]:
+        at, values = quantise([r["__vector"] for r in asked_rows])
+        out: dict[int, list[Block]] = {}
+        for w, (ids, matrix) in _by_width([asked_rows[j]["__id"] for j in at], values).items():
+            for a in range(0, len(ids), block):
+                own = Block(ids[a : a + block], matrix[a : a + block])
+                if w in head_by:  # a bounded first block gives each query its k-th best so far
+                    head_ids, head_matrix = head_by[w]
+                    score = products(own.matrix, head_matrix).astype(np.float64)
+                    score[own.ids[:, None] == head_ids[None, :]] = -np.inf
+                    if score.shape[1] >= k:
+                        own.threshold = np.partition(score, -k, axis=1)[:, -k]
+                out.setdefault(w, []).append(own)
+        return out
+
+    def part(asked_rows: list[Row]) -> tuple[DataFrame, Broadcast]:
+        shared = spark.sparkContext.broadcast(blocks_of(asked_rows))
 
         def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            best: dict[int, dict[int, tuple[np.ndarray, np.ndarray]]] = {w: {} for w in shared.value}
-            threshold = {w: x.threshold.copy() for w, x in shared.value.items()}
+            every_block = [(w, own, {}, own.threshold.copy()) for w, x in shared.value.items() for own in x]
             for batch in batches:
                 ids = batch.column(0).to_pylist()
                 at, values = quantise(batch.column(1).to_pylist())
-                for w, (own, matrix) in _by_width([ids[j] for j in at], values).items():
-                    if w in shared.value:
-                        for a in range(0, len(own), chunk):
-                            shared.value[w].search(own[a : a + chunk], matrix[a : a + chunk], best[w], k, threshold[w])
-            for w, x in best.items():
-                for q, (score, vec) in x.items():
-                    query = np.full(len(vec), shared.value[w].ids[q])
+                by = _by_width([ids[j] for j in at], values)
+                for w, own, best, threshold in every_block:
+                    if w in by:
+                        own_ids, matrix = by[w]
+                        for a in range(0, len(own_ids), chunk):
+                            own.search(own_ids[a : a + chunk], matrix[a : a + chunk], best, k, threshold)
+            for _, own, best, _ in every_block:
+                if best:
+                    query = np.repeat(own.ids[list(best)], [len(x[0]) for x in best.values()])
+                    vec, score = (np.concatenate([x[j] for x in best.values()]) for j in (1, 0))
                     yield pa.RecordBatch.from_arrays([pa.array(query), pa.array(vec), pa.array(score)], names=["query_id", "vec_id", "score"])
 
-        return some.mapInArrow(search, schema)
-
-    ids, values = [], []
-    for r in rows:
-        ids.append(r["__id"])
-        values.append(r["__vector"])
-        if len(ids) == block:
-            found = part(ids, values) if found is None else found.unionByName(part(ids, values))
-            ids, values = [], []
-    if ids or found is None:
-        found = part(ids, values) if found is None else found.unionByName(part(ids, values))
-    rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
-    return found.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+        return ranked(some.mapInArrow(search, schema)), shared
+
+    def ranked(found: DataFrame) -> DataFrame:
+        rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
+        return found.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+
+    done: DataFrame | None = None
+    while True:
+        asked_rows = list(islice(rows, group * block))
+        if done is not None and not asked_rows:
+            return done
+        found, shared = part(asked_rows)
+        if done is None and len(asked_rows) < group * block:
+            return found  # one group: nothing has to be written in between
+        path = written(found, "neighbours")
+        shared.destroy()
+        done = path if done is None else done.unionByName(path)
