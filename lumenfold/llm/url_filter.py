@@ -155,13 +155,21 @@ def prepared(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", ru
 
 
 def fit_url_model(rows: DataFrame, sample: int = 20_000, **options: object) -> UrlModel:
-    """Train on at most ``sample`` labelled URLs, those of the smallest hash; suffix statistics count all."""
+    """Train on at most ``sample`` distinct labelled URLs, those of the smallest hash; suffix statistics count all rows.
+
+    A bound on the hash comes from the (approximate) number of distinct URLs, so that hardly more rows than are wanted
+    reach the driver. Null URLs carry no label and do not take part.
+    """
     labelled = rows.where(F.col("__label").isNotNull())
     share, count = np.full(BUCKETS, 0.5), np.zeros(BUCKETS)
     blocked = F.sum((F.col("__label") == "block").cast("long"))
     for b, n, k in labelled.groupBy("__bucket").agg(F.count("*"), blocked).collect():  # at most BUCKETS rows
         share[b], count[b] = (k + 1) / (n + 2), n
-    chosen = labelled.orderBy(F.xxhash64("__url"), "__url").limit(sample).select("__url", "host", "path", "__bucket", "__label").collect()
+    many = labelled.agg(F.approx_count_distinct("__url")).collect()[0][0]
+    part = min(1.0, 1.3 * (sample + 6 * sample**0.5) / max(1, many))
+    number = F.pmod(F.xxhash64("__url"), F.lit(1 << 52))
+    some = labelled.where(number < F.lit(part * float(1 << 52))).select("__url", "host", "path", "__bucket", "__label").distinct()
+    chosen = some.orderBy(F.pmod(F.xxhash64("__url"), F.lit(1 << 52)), "__url").limit(sample).collect()
     x = features([r[0] for r in chosen], [r[1] for r in chosen], [r[2] for r in chosen], np.array([r[3] for r in chosen], np.int64), share, count)
     y = np.array([r[4] == "block" for r in chosen], np.float64)
     return UrlModel(fit_trees(x, y, **options), share, count)

@@ -30,7 +30,7 @@ def test_search_edge_cases(spark):
     rows += [(100 + k, rows[0][1]) for k in range(30)]  # ties
     rows += [(200, None), (201, [None] * 8), (220, [float("nan")] * 8), (221, [float("inf")] * 8), (240, []), (None, rows[1][1]), (260, [1.0, 2.0]), (261, [3.0, 1.0]), (280, [1e7] * 8)]
     table = spark.createDataFrame([(*r, 5) for r in rows], "vec_id long, embedding array<float>, score int")
-    for options in ({}, {"block": 2, "first": 30, "chunk": 7}):
+    for options in ({}, {"block": 2, "first": 30, "chunk": 7}, {"block": 1, "group": 2, "first": 0}):
         got = {tuple(r) for r in v.top_k(table.repartition(3), **options).collect()}
         assert got == brute(rows)
     assert v.top_k(table.limit(0)).count() == 0
@@ -40,8 +40,25 @@ def test_bounds_hold():
     rng = np.random.default_rng(1)
     a, b = np.floor(rng.normal(size=(20, 64)) * 20), np.floor(rng.normal(size=(30, 64)) * 20)
     for n in v.levels_of(64):
-        bound = v.Statistics(a, [n]).parts[n] @ v.Statistics(b, [n]).parts[n].T
-        assert (bound + 0.5 >= a @ b.T).all()
+        x, y = v.Statistics(a, [n]), v.Statistics(b, [n])
+        bound = (x.parts[n] @ y.parts[n].T + v.slack(n)) * np.outer(x.norm, y.norm)
+        assert (bound >= a @ b.T).all()
+
+
+def test_no_neighbour_is_ruled_out_where_segments_cancel():
+    rng = np.random.default_rng(3)
+    for _ in range(200):
+        size = 10 ** rng.uniform(4, 7)
+        q, x = (np.round(np.repeat(rng.choice([-1, 1], 16), 4) * size + rng.normal(size=64) * size / 100) for _ in range(2))
+        block = v.Block(np.array([0]), q[None])
+        assert block.survivors(x[None], v.products(q[None], x[None])[0].astype(float)).all()
+
+
+def test_bounds_of_very_large_components():
+    for size in (1e20, 1e30, 1e200):
+        q, x = np.full((1, 8), size), np.full((2, 8), size)
+        x[1] = -size
+        assert v.Block(np.array([0]), q).survivors(x, np.array([1.0]))[0, 0]
 
 
 def rule_of(url):
