@@ -12,7 +12,7 @@ SF = "/root/testdata/sf0.1"
 
 def test_gradients_of_the_recurrent_layer():
     rng = np.random.default_rng(0)
-    layer = l.Direction(rng.normal(0, 0.5, (256, 9)), rng.normal(0, 0.5, (3, 9)))
+    layer = l.Direction(rng.normal(0, 0.5, (256, 6)), rng.normal(0, 0.5, (3, 6)))
     codes = rng.integers(97, 100, (4, 5))
     push = rng.normal(size=(4, 5, 3))
 
@@ -20,17 +20,16 @@ def test_gradients_of_the_recurrent_layer():
         # float64 throughout, so that differences are exact enough
         state, total = np.zeros((5, 3)), 0.0
         for t in range(4):
-            a = layer.table[codes[t]]
-            g = 1 / (1 + np.exp(-(a[:, :6] + state @ layer.inner[:, :6])))
-            c = np.tanh(a[:, 6:] + (g[:, 3:] * state) @ layer.inner[:, 6:])
-            state = state + g[:, :3] * (c - state)
+            x = layer.table[codes[t]] + state @ layer.inner
+            state = state + 1 / (1 + np.exp(-x[:, :3])) * (np.tanh(x[:, 3:]) - state)
             total += (state * push[t]).sum()
         return total
 
-    _, kept = layer.run(codes, True)
+    single = l.Direction(layer.table.astype(np.float32), layer.inner.astype(np.float32))
+    _, kept = single.run(codes, True)
     d_table, d_inner = layer.back(codes, kept, push)
     for value, slope in ((layer.table, d_table), (layer.inner, d_inner)):
-        for at in [(97, 2), (98, 5), (99, 8)] if len(value) > 3 else [(0, 1), (1, 4), (2, 7)]:
+        for at in [(97, 2), (98, 5), (99, 3)] if len(value) > 3 else [(0, 1), (1, 4), (2, 5)]:
             value[at] += 1e-5
             up = loss()
             value[at] -= 2e-5
@@ -39,10 +38,49 @@ def test_gradients_of_the_recurrent_layer():
             assert abs((up - down) / 2e-5 - slope[at]) < 1e-3
 
 
-def test_backwards_undoes_itself():
-    codes, lengths = l.padded([b"abc", b"a", b"abcdef"])
-    assert (l.backwards(l.backwards(codes, lengths), lengths) == codes).all()
-    assert l.backwards(codes, lengths)[:3, 0].tolist() == [99, 98, 97]
+def plain_labels(model, data):
+    """Label probabilities of every byte, read byte by byte in both directions from end to end."""
+    codes = list(data)
+
+    def read(layer, order):
+        state, out = np.zeros(len(layer.inner)), {}
+        for k in order:
+            x = layer.table[codes[k]] + state @ layer.inner
+            h = len(state)
+            state = state + 1 / (1 + np.exp(-x[:h])) * (np.tanh(x[h:]) - state)
+            out[k] = state
+        return out
+
+    ahead, behind = read(model.forward, range(len(codes))), read(model.backward, range(len(codes) - 1, -1, -1))
+    out = []
+    for k in range(len(codes)):
+        z = np.exp(np.concatenate([ahead[k], behind[k]]) @ model.layer + model.bias)
+        out.append(z / z.sum())
+    return np.array(out)
+
+
+def test_windows_label_every_byte_as_a_plain_reading_does():
+    rng = np.random.default_rng(1)
+    texts = ["the thing and the other of it " * 30, "der die das und ein nicht " * 30]
+    model = l.train(texts, ["en", "de"], windows_each=200, epochs=2)
+    words = " ".join(texts).split()
+    for n in (1, 2, 30, 31, 90, 400):  # shorter than a window, at its edge, several
+        some = [" ".join(rng.choice(words, n)) + " é%!" for _ in range(4)]
+        for text, mean in zip(some, model.means(some)):
+            data, labels = l.bytes_of(text), []
+            for at in range(0, len(data), l.WINDOW):
+                first = max(0, at - l.CONTEXT)
+                labels.append(plain_labels(model, data[first : at + l.WINDOW + l.CONTEXT])[at - first :][: l.WINDOW])
+            assert np.abs(np.concatenate(labels).mean(0) - mean).max() < 1e-4
+            # states that have read the context only are near those that have read all
+            assert np.abs(plain_labels(model, data).mean(0) - mean).max() < 0.1
+    assert (model.means([""]) == 0).all()
+
+
+def test_every_labelled_language_can_be_predicted(spark):
+    rows = [(7 * k + j, f"{chr(97 + k % 26)}{chr(97 + k // 26)} " * 5, f"l{k:02}") for k in range(70) for j in range(7)]
+    texts, names = l.training_rows(spark.createDataFrame(rows, "doc_id long, text string, lang string"), each=3, most=100)
+    assert len(set(names)) == 70 and len(texts) == 70
 
 
 def test_language_held_out_accuracy(spark):
@@ -61,7 +99,7 @@ def test_language_held_out_accuracy(spark):
 def test_language_edge_cases(spark):
     rows = [(1, "the and of it", "en"), (2, "der die das", "de"), (None, "the of", "en"), (3, None, "en"), (4, "12 !!", None), (4, "", "de"), (6, "x" * 100_000, "en")] * 2
     table = spark.createDataFrame([(*r, "clash", 0.5) for r in rows], "doc_id long, text string, lang string, lang_pred string, score double")
-    model = l.fit_language_model(table, words_each=200, epochs=1)
+    model = l.fit_language_model(table, windows_each=100, epochs=1)
     got = l.identify_language(table, model).collect()
     assert len(got) == len(rows) and all(r.lang_pred == "und" and r.score == 0 for r in got if r.doc_id in (3, 4))
     assert l.identify_language(table.limit(0), model).count() == 0
@@ -89,8 +127,11 @@ def test_toxicity_edge_cases(spark):
     assert len(got) == len(docs) and all(0 <= r.score <= 1 for r in got)
     by = {r.doc_id: r.predicted for r in got}
     assert by[0] == 1 and by[1] == 0 and by[202] == 0 and by[201] == 0
-    # a misspelling shares n-grams
-    assert model.word(b"idiiot") > model.word(b"weather")
+    # a misspelling that was never seen shares n-grams
+    seen = model.score(["idiiot", "weather"])
+    assert seen[0] > seen[1]
+    # the score is the worst passage's: it does not grow with a text's length
+    assert model.score(["fine weather by the sea " * 9]) == pytest.approx(model.score(["fine weather by the sea " * 9000]))
     assert x.score_toxicity(table.limit(0), model).count() == 0
     none = x.fit_toxicity(table, labels.limit(0))
     assert {r.predicted for r in x.score_toxicity(table, none).collect()} == {0}
