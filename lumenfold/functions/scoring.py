@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import json
 import re
+from collections.abc import Callable
+from functools import reduce
 
 import pandas as pd
 from pyspark.sql import Column
@@ -50,6 +52,7 @@ REJECTED_TITLES = tuple(
         r"^\s*brief\s+report\b", r"^\s*imaging\s+diagnosis\b", r"^\s*imaging\s+findings?\b", r"^\s*rapid\s+communication\b",
     )
 )
+# Types of articles that are left out, and of those that count as secondary.
 EXCLUDED_TYPES = ("short communication", "brief communication", "brief report", "case report", "case series", "case study", "imaging diagnosis", "imaging findings", "rapid communication")
 SECONDARY_TYPES = ("systematic review", "meta-analysis", "scoping review", "narrative review")
 
@@ -121,6 +124,11 @@ def density_band(cosine: Column) -> Column:
     return F.when(cosine.isNull(), "unknown").when(cosine >= 0.85, "high").when(cosine < 0.5, "low").otherwise("moderate")
 
 
+def batch_cost(status: Column, usd: Column) -> Column:
+    """What a result cost: nothing unless it succeeded."""
+    return F.when(status == "success", F.coalesce(usd, F.lit(0.0))).otherwise(0.0)
+
+
 def alpha_verdict(alpha: Column, n: Column, least: int = 30) -> Column:
     return F.when(alpha.isNull(), "unavailable").when(n < least, "underpowered").when(alpha >= 0.8, "strong").when(alpha >= 0.667, "acceptable").when(alpha >= 0, "weak").otherwise("systematic disagreement")
 
@@ -163,14 +171,25 @@ def extraction_status(raw_words: Column, clean_words: Column, there: Column) ->
     return F.when(fail, "FAIL").when((ratio < 0.5) | (clean_words < 3000), "WARN").otherwise("PASS")
 
 
+def _lowered(text: Column, of: Callable[[Column], Column]) -> Column:
+    """An expression of the lower-cased text, which is made once however often the expression names it."""
+    return F.get(F.transform(F.array(F.lower(F.coalesce(text, F.lit("")))), of), F.lit(0))
+
+
+def _has(low: Column, words: tuple[str, ...]) -> Column:
+    """Whether any of the words is a substring; the first that is ends the search."""
+    return reduce(lambda x, y: x | y, [low.contains(w) for w in words], F.lit(False))
+
+
 def all_labels(text: Column, keywords: dict[str, tuple[str, ...]]) -> Column:
     """Every label one of whose keywords is a substring."""
-    low = F.lower(F.coalesce(text, F.lit("")))
-    return F.filter(F.array(*[F.when(F.greatest(*[low.contains(w) for w in ws], F.lit(False)), F.lit(k)) for k, ws in keywords.items()]), lambda x: x.isNotNull())
+    found = lambda low: F.filter(F.array(*[F.when(_has(low, ws), F.lit(k)) for k, ws in keywords.items()]), lambda x: x.isNotNull())
+    return _lowered(text, found)
 
 
 def first_label(text: Column, keywords: dict[str, tuple[str, ...]]) -> Column:
-    return F.get(all_labels(text, keywords), F.lit(0))
+    """The first label one of whose keywords is a substring; null if none has one."""
+    return _lowered(text, lambda low: F.coalesce(*[F.when(_has(low, ws), F.lit(k)) for k, ws in keywords.items()]))
 
 
 def mock_row(version: Column, reasoning: Column, note: str = "dry run") -> Column:
@@ -221,13 +240,18 @@ def _balanced(text: str) -> str | None:
     return None
 
 
+def _delimiters(block: str) -> str:
+    """Single quotes that delimit strings (behind or before a bracket, colon or comma) as double ones; apostrophes stay."""
+    return re.sub(r"(?<=[{\[:,\s])'|'(?=\s*[}\]:,])", '"', block)
+
+
 def parse_reply(raw: str | None, criteria: tuple[str, ...] = tuple(WEIGHTS)) -> dict[str, object]:
     """Scores of a judge's reply and how they were found: json, json_block, json_repaired, regex or sentinel."""
     raw = raw or ""
     tries = [("json", raw.strip())]
     if (block := _balanced(raw)) is not None:
         tries.append(("json_block", block))
-        tries.append(("json_repaired", re.sub(r",\s*([}\]])", r"\1", re.sub(r"\bNone\b", "null", block.replace("'", '"')))))
+        tries.append(("json_repaired", re.sub(r",\s*([}\]])", r"\1", re.sub(r"\bNone\b", "null", _delimiters(block)))))
     for method, text in tries:
         try:
             found = json.loads(text)

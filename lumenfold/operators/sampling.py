@@ -58,29 +58,52 @@ def quota(df: DataFrame, stratum: str, quotas: DataFrame, key: str, seed: int, o
         checked = short.select(F.assert_true(F.coalesce(F.col("gap"), F.lit(0)) <= 0, F.lit("a stratum has fewer rows than its quota")).alias("ok"))
         return taken.drop("quota").join(F.broadcast(checked), F.coalesce(F.col("ok").cast("string"), F.lit("ok")) == "ok", "left").drop("ok")
     gap = have.agg(F.sum("gap").cast("long").alias("gap"))
-    total = quotas.agg(F.sum("quota").alias("most"))
-    spare = ranks.where(F.col("round") > F.col("quota"))
-    spare = spare.join(F.broadcast(total)).where(F.col("round") <= F.col("quota") + F.col("most")).drop("most")
+    most = int(quotas.agg(F.sum("quota")).collect()[0][0] or 0)  # no more than that can be missing
+    spare = ranks.where((F.col("round") > F.col("quota")) & (F.col("round") <= F.col("quota") + most)).orderBy(shuffle_key(seed + 1, key), key).limit(most)
     spare = spare.withColumn("place", F.row_number().over(Window.partitionBy(F.lit(0)).orderBy(shuffle_key(seed + 1, key), key)))
     extra = spare.join(F.broadcast(gap)).where(F.col("place") <= F.col("gap")).drop("place", "gap")
     return taken.unionByName(extra).drop("quota")
 
 
 def interleave(df: DataFrame, group: str, order: str, seed: int) -> DataFrame:
-    """Rows in rounds, one of each group a round, so that a group's rows do not meet while others have some."""
+    """Rows in rounds, one of each group a round, so that a group's rows do not meet while others have some.
+
+    ``round`` is the round, ``group_key`` orders the groups in it; :func:`in_rounds` is the whole order.
+    """
     out = ranked(df, [group], [F.col(order)])
     return out.withColumn("group_key", shuffle_key(seed, group))
 
 
-def carried_overlap(pool: DataFrame, previous: DataFrame, stratum: str, key: str, item: str, per_stratum_n: int, overlap: float, seed: int) -> DataFrame:
-    """``round(n * overlap)`` earlier keys of each stratum in their item order, the rest from keys not seen before."""
-    keep = int(per_stratum_n * overlap + 0.5)
+def in_rounds(df: DataFrame, group: str, order: str, seed: int) -> DataFrame:
+    """The rows of :func:`interleave` in that order."""
+    return interleave(df, group, order, seed).orderBy("round", "group_key", group)
+
+
+def carried_overlap(pool: DataFrame, previous: DataFrame, stratum: str, key: str, item: str, per_stratum_n: int, overlap: float, seed: int, on_shortfall: str = "report") -> DataFrame:
+    """``round(n * overlap)`` (half to even) earlier keys of each stratum in their item order, the rest from keys not seen before.
+
+    Only earlier keys that are still in the pool are carried. A stratum with too few new keys gives what it has (``report``), or takes
+    the gap from its own other keys of the pool, seen ones included (``backfill``), or raises in the query (``error``).
+    """
+    if on_shortfall not in ("error", "backfill", "report"):
+        raise ValueError(on_shortfall)
+    keep = min(round(per_stratum_n * overlap), per_stratum_n)
     seen = previous.groupBy(stratum, key).agg(F.min(item).alias("first_item"))
-    carried = ranked(seen, [stratum], [F.col("first_item"), F.col(key)]).where(F.col("round") <= keep).select(stratum, key, F.lit(True).alias("carried"))
-    fresh = ranked(pool.join(seen.select(key), key, "left_anti"), [stratum], [shuffle_key(seed, key), F.col(key)])
+    eligible = seen.join(pool.select(key).distinct(), key, "left_semi")
+    carried = ranked(eligible, [stratum], [F.col("first_item"), F.col(key)]).where(F.col("round") <= keep).select(stratum, key, F.lit(True).alias("carried"))
+    new = F.col("__seen").isNull()
+    rest = pool.select(stratum, key).join(carried.select(key), key, "left_anti").join(seen.select(key).distinct().withColumn("__seen", F.lit(True)), key, "left")
+    if on_shortfall != "backfill":
+        rest = rest.where(new)
     had = carried.groupBy(stratum).agg(F.count("*").alias("had"))
-    fresh = fresh.join(F.broadcast(had), stratum, "left").where(F.col("round") <= per_stratum_n - F.coalesce("had", F.lit(0)))
-    return carried.unionByName(fresh.select(stratum, key, F.lit(False).alias("carried")))
+    rest = ranked(rest, [stratum], [F.col("__seen").isNotNull(), shuffle_key(seed, key), F.col(key)])
+    rest = rest.join(had, stratum, "left").where(F.col("round") <= per_stratum_n - F.coalesce("had", F.lit(0)))
+    out = carried.unionByName(rest.select(stratum, key, F.lit(False).alias("carried")))
+    if on_shortfall != "error":
+        return out
+    counts = pool.select(stratum).distinct().join(out.groupBy(stratum).agg(F.count("*").alias("n")), stratum, "left")
+    checked = counts.agg(F.min(F.coalesce("n", F.lit(0))).alias("n")).select(F.assert_true(F.coalesce(F.col("n"), F.lit(per_stratum_n)) >= per_stratum_n, F.lit("a stratum has too few keys")).alias("ok"))
+    return out.join(F.broadcast(checked), F.coalesce(F.col("ok").cast("string"), F.lit("ok")) == "ok", "left").drop("ok")
 
 
 def year_quotas(df: DataFrame, stratum: str, year: str, years: list[int], n: int, key: str) -> DataFrame:

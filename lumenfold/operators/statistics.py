@@ -35,18 +35,34 @@ def pairwise_difference(rows: DataFrame, item: list[str], judge: str, value: str
     return flat.groupBy("judge_a", "judge_b").agg(F.count("*").alias("n"), F.avg("d").alias("mean_abs_diff"), F.max("d").alias("max_abs_diff"))
 
 
-def cohen_kappa(rows: DataFrame, a: str, b: str, weights: str | None = None, categories: int | None = None) -> DataFrame:
-    """n, agreement, kappa (plain, linear or quadratic) and whether it is undefined (then 1.0).
+def cohen_kappa(rows: DataFrame, a: str, b: str, weights: str | None = None, by: list[str] = []) -> DataFrame:  # noqa: B006
+    """n, agreement, kappa (plain, linear or quadratic) and whether it is undefined (then 1.0), for each group.
 
-    The contingency table is aggregated first; what follows works on at most categories squared rows.
+    The contingency table is aggregated first. Expected disagreement follows from sums over each side's own counts (of squares,
+    of equal labels, or of labels on either side of each cut), so labels never meet labels.
     """
-    cells = rows.where(F.col(a).isNotNull() & F.col(b).isNotNull()).groupBy(F.col(a).cast("double").alias("a"), F.col(b).cast("double").alias("b")).agg(F.count("*").alias("n"))
-    rows_of, cols_of = cells.groupBy("a").agg(F.sum("n").alias("ra")), cells.groupBy("b").agg(F.sum("n").alias("cb"))
-    weight = {None: (F.col("a") != F.col("b")).cast("double"), "linear": F.abs(F.col("a") - F.col("b")), "quadratic": (F.col("a") - F.col("b")) * (F.col("a") - F.col("b"))}[weights]
-    total = cells.agg(F.sum("n").alias("n"), F.sum(weight * F.col("n")).alias("observed"), F.sum(F.when(F.col("a") == F.col("b"), F.col("n")).otherwise(0)).alias("same"))
-    expected = rows_of.crossJoin(F.broadcast(cols_of)).agg(F.sum(weight * F.col("ra") * F.col("cb")).alias("expected"))  # labels by labels
-    kappa = F.when(F.col("expected") == 0, 1.0).otherwise(1 - F.col("observed") * F.col("n") / F.col("expected"))
-    return total.crossJoin(expected).where("n is not null").select("n", (F.col("same") / F.col("n")).alias("agreement"), kappa.alias("kappa"), (F.col("expected") == 0).alias("undefined"))
+    keys = [*by, "__all"]
+    known = rows.where(F.col(a).isNotNull() & F.col(b).isNotNull()).withColumn("__all", F.lit(0))
+    cells = known.groupBy(*keys, F.col(a).cast("double").alias("a"), F.col(b).cast("double").alias("b")).agg(F.count("*").alias("n"))
+    x, y, n = F.col("a"), F.col("b"), F.col("n")
+    weight = {None: (x != y).cast("double"), "linear": F.abs(x - y), "quadratic": (x - y) * (x - y)}[weights]
+    total = cells.groupBy(*keys).agg(F.sum("n").alias("n"), F.sum(weight * n).alias("observed"), F.sum(F.when(x == y, n).otherwise(0)).alias("same"), F.sum(x * n).alias("sa"), F.sum(y * n).alias("sb"), F.sum((x * x + y * y) * n).alias("squares"))
+    if weights == "quadratic":
+        total = total.withColumn("expected", n * F.col("squares") - 2 * F.col("sa") * F.col("sb"))
+    else:
+        sides = F.explode(F.array(F.struct(x.alias("label"), n.alias("ra"), F.lit(0).cast("long").alias("cb")), F.struct(y.alias("label"), F.lit(0).cast("long").alias("ra"), n.alias("cb"))))
+        marginal = cells.select(*keys, sides.alias("m")).groupBy(*keys, "m.label").agg(F.sum("m.ra").alias("ra"), F.sum("m.cb").alias("cb"))
+        if weights is None:
+            part = total.join(marginal.groupBy(*keys).agg(F.sum(F.col("ra") * F.col("cb")).alias("equal")), keys)
+            total = part.withColumn("expected", (n * n - F.col("equal")).cast("double"))
+        else:
+            order = Window.partitionBy(*keys).orderBy("label")
+            so_far = lambda c: F.sum(c).over(order.rowsBetween(Window.unboundedPreceding, Window.currentRow))
+            cuts = marginal.select(*keys, (F.lead("label").over(order) - F.col("label")).alias("gap"), so_far("ra").alias("fa"), so_far("cb").alias("fb")).where("gap is not null")
+            cuts = cuts.join(total.select(*keys, "n"), keys).groupBy(*keys).agg(F.sum(F.col("gap") * (F.col("fa") * (n - F.col("fb")) + F.col("fb") * (n - F.col("fa")))).alias("expected"))
+            total = total.join(cuts, keys, "left").withColumn("expected", F.coalesce("expected", F.lit(0.0)))
+    kappa = F.when(F.col("expected") == 0, 1.0).otherwise(1 - F.col("observed") * n / F.col("expected"))
+    return total.select(*by, "n", (F.col("same") / n).alias("agreement"), kappa.alias("kappa"), (F.col("expected") == 0).alias("undefined"))
 
 
 def _pearson(x: Column, y: Column) -> Column:
@@ -213,7 +229,7 @@ def bootstrap_ci(rows: DataFrame, by: list[str], value: str, resamples: int = 20
     """Percentile interval of the mean of each group; null bounds for fewer than two values.
 
     A group's distinct values and their counts are what a resample needs (a multinomial draw over them), so
-    rows are aggregated before they meet and a group's size does not matter.
+    rows are aggregated before they meet; a task holds a group's distinct values and a bounded number of draws.
     """
     counts = rows.where(F.col(value).isNotNull()).groupBy(*by, F.col(value).cast("double").alias("__v")).agg(F.count("*").alias("__m"))
     known = [StructField(c, counts.schema[c].dataType) for c in by]
@@ -225,7 +241,8 @@ def bootstrap_ci(rows: DataFrame, by: list[str], value: str, resamples: int = 20
         n, mean = int(m.sum()), float((v * m).sum() / m.sum())
         low = high = None
         if n > 1:
-            means = np.random.default_rng(seed).multinomial(n, m / n, resamples) @ v / n
+            rng, step = np.random.default_rng(seed), max(1, 2_000_000 // len(v))  # so many draws at a time
+            means = np.concatenate([rng.multinomial(n, m / n, min(step, resamples - k)) @ v / n for k in range(0, resamples, step)])
             low, high = np.quantile(means, [alpha / 2, 1 - alpha / 2]).tolist()
         return pd.DataFrame([[*[pdf[c].iloc[0] for c in by], n, mean, low, high]], columns=[*by, "n", "mean", "low", "high"])
 

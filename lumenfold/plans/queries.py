@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -11,75 +9,43 @@ from lumenfold.functions import scoring as s
 from lumenfold.functions import text as t
 from lumenfold.operators import aggregate as a
 from lumenfold.operators import dedup as d
+from lumenfold.operators import reports as r
 from lumenfold.operators import sampling as q
 from lumenfold.operators import statistics as st
 from lumenfold.operators.overlap import rouge_table
-from lumenfold.plans.adapters import JUDGEMENTS_SQL, PAIRS_SQL, judgements, table, turn_pairs
-
-Query = Callable[[SparkSession, str], DataFrame]
-QUERIES: dict[str, Query] = {}
-ORACLE_SQL: dict[str, str] = {}
-CRITERIA = list(s.WEIGHTS)
-
-
-def query(sql: str | None = None) -> Callable[[Query], Query]:
-    def add(f: Query) -> Query:
-        QUERIES[f.__name__] = f
-        if sql:
-            ORACLE_SQL[f.__name__] = sql
-        return f
-
-    return add
-
-
-def rounded(df: DataFrame, digits: int = 6) -> DataFrame:
-    return df.select(*[F.round(c, digits).alias(c) if kind == "double" else F.col(c) for c, kind in df.dtypes])
+from lumenfold.plans.adapters import CRITERIA, JUDGEMENTS_SQL, PAIRS_SQL, SCORES_SQL, UB_SQL, U_SQL, WB_SQL, W_SQL, items, judgements, table, turn_pairs
+from lumenfold.plans.registry import ORACLE_SQL, QUERIES, query, rounded
 
+__all__ = ["ORACLE_SQL", "QUERIES"]
 
 # Scores ------------------------------------------------------------------------------------------
 
-_W = " + ".join(f"CASE WHEN {c} IS NULL THEN 0 ELSE {c} * {w} END" for c, w in s.WEIGHTS.items())
-_WB = " + ".join(f"CASE WHEN {c} IS NULL THEN 0 ELSE {w} END" for c, w in s.WEIGHTS.items())
-_U = " + ".join(f"coalesce({c}, 0)" for c in CRITERIA)
-_UB = " + ".join(f"({c} IS NOT NULL)::INT" for c in CRITERIA)
-_SCORES_SQL = f"""{JUDGEMENTS_SQL},
-one AS (SELECT item, provider, judge, {', '.join(f'avg({c}) AS {c}' for c in CRITERIA)}, bool_or(hallucinated) AS h, count(*) AS n_rows FROM judgements GROUP BY ALL),
-scored AS (SELECT *, CASE WHEN {_UB} > 0 THEN ({_U})::DOUBLE / ({_UB}) END AS u, CASE WHEN {_WB} > 0 THEN ({_W})::DOUBLE / ({_WB}) END AS w FROM one),
-items AS (SELECT item, provider, avg(u) AS unweighted, avg(w) AS weighted, max(u) - min(u) AS disagreement, {', '.join(f'avg({c}) AS {c}' for c in CRITERIA)},
-  CASE WHEN count(h) > 0 THEN count_if(h) * 2 > count(h) END AS h_majority, bool_or(h) AS h_any, avg(h::INT) AS h_rate, count_if(h IS NULL) AS h_missing,
-  greatest(count(u), count(w)) AS n_judges, sum(n_rows)::BIGINT AS n_rows FROM scored GROUP BY ALL)"""
-
-
-def _items(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return a.item_scores(judgements(spark, sf_dir), ["item"], flags=["hallucinated"])
-
-
-@query(f"WITH {_SCORES_SQL} SELECT provider, count(*) AS n_items, sum(n_rows)::BIGINT AS n_rows, count(unweighted) AS n_scored, round(avg(unweighted), 6) AS mean_unweighted, round(avg(weighted), 6) AS mean_weighted, round(avg(h_majority::INT), 6) AS hallucinated_rate, round(avg(h_any::INT), 6) AS hallucinated_any_rate FROM items GROUP BY provider")
+@query(f"WITH {SCORES_SQL} SELECT provider, count(*) AS n_items, sum(n_rows)::BIGINT AS n_rows, count(unweighted) AS n_scored, round(avg(unweighted), 6) AS mean_unweighted, round(avg(weighted), 6) AS mean_weighted, round(avg(h_majority::INT), 6) AS hallucinated_rate, round(avg(h_any::INT), 6) AS hallucinated_any_rate FROM items GROUP BY provider")
 def provider_means(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return rounded(a.group_report(_items(spark, sf_dir), ["provider"], ["hallucinated"]))
+    return rounded(a.group_report(items(spark, sf_dir), ["provider"], ["hallucinated"]))
 
 
-@query(f"WITH {_SCORES_SQL} SELECT item, provider, round(unweighted, 6) AS unweighted, round(weighted, 6) AS weighted, round(disagreement, 6) AS disagreement, {', '.join(f'round({c}, 6) AS {c}' for c in CRITERIA)}, h_majority AS hallucinated_majority, h_any AS hallucinated_any, round(h_rate, 6) AS hallucinated_rate, h_missing AS hallucinated_missing, n_judges, n_rows FROM items")
+@query(f"WITH {SCORES_SQL} SELECT item, provider, round(unweighted, 6) AS unweighted, round(weighted, 6) AS weighted, round(disagreement, 6) AS disagreement, {', '.join(f'round({c}, 6) AS {c}' for c in CRITERIA)}, h_majority AS hallucinated_majority, h_any AS hallucinated_any, round(h_rate, 6) AS hallucinated_rate, h_missing AS hallucinated_missing, n_judges, n_rows FROM items")
 def item_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return rounded(_items(spark, sf_dir))
+    return rounded(items(spark, sf_dir))
 
 
-@query(f"""WITH {_SCORES_SQL}, f AS (SELECT 'p_brand' AS field, p_brand AS value, items.* FROM items JOIN part ON item = p_partkey UNION ALL SELECT 'p_type', p_type, items.* FROM items JOIN part ON item = p_partkey)
+@query(f"""WITH {SCORES_SQL}, f AS (SELECT 'p_brand' AS field, p_brand AS value, items.* FROM items JOIN part ON item = p_partkey UNION ALL SELECT 'p_type', p_type, items.* FROM items JOIN part ON item = p_partkey)
 SELECT field, value, count(*) AS n_items, sum(n_rows)::BIGINT AS n_rows, count(unweighted) AS n_scored, round(avg(unweighted), 6) AS mean_unweighted, round(avg(weighted), 6) AS mean_weighted FROM f GROUP BY ALL""")
 def report_by_fields(spark: SparkSession, sf_dir: str) -> DataFrame:
     part = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("item"), "p_brand", "p_type")
-    return rounded(a.report_by_fields(_items(spark, sf_dir).join(part, "item"), ["p_brand", "p_type"]))
+    return rounded(a.report_by_fields(items(spark, sf_dir).join(part, "item"), ["p_brand", "p_type"]))
 
 
-@query(f"""WITH {_SCORES_SQL} SELECT p_brand, {', '.join(f"round(avg(unweighted) FILTER (provider = '{p}'), 6) AS mean_{p}, count(unweighted) FILTER (provider = '{p}') AS n_{p}" for p in 'ANR')}, count(unweighted) AS n_provider_items FROM items JOIN part ON item = p_partkey GROUP BY p_brand""")
+@query(f"""WITH {SCORES_SQL} SELECT p_brand, {', '.join(f"round(avg(unweighted) FILTER (provider = '{p}'), 6) AS mean_{p}, count(unweighted) FILTER (provider = '{p}') AS n_{p}" for p in 'ANR')}, count(unweighted) AS n_provider_items FROM items JOIN part ON item = p_partkey GROUP BY p_brand""")
 def stratum_crosstab(spark: SparkSession, sf_dir: str) -> DataFrame:
     part = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("item"), "p_brand")
-    return rounded(a.crosstab(_items(spark, sf_dir).join(part, "item"), "p_brand", "provider", ["A", "N", "R"]))
+    return rounded(a.crosstab(items(spark, sf_dir).join(part, "item"), "p_brand", "provider", ["A", "N", "R"]))
 
 
-@query(f"WITH {_SCORES_SQL}, c AS (UNPIVOT (SELECT provider, {', '.join(CRITERIA)} FROM items) ON {', '.join(CRITERIA)} INTO NAME criterion VALUE score) SELECT provider, criterion, round(avg(score), 6) AS mean_score, count(score) AS n FROM c GROUP BY ALL")
+@query(f"WITH {SCORES_SQL}, c AS (UNPIVOT (SELECT provider, {', '.join(CRITERIA)} FROM items) ON {', '.join(CRITERIA)} INTO NAME criterion VALUE score) SELECT provider, criterion, round(avg(score), 6) AS mean_score, count(score) AS n FROM c GROUP BY ALL")
 def criterion_means(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return rounded(a.criterion_means(_items(spark, sf_dir)))
+    return rounded(a.criterion_means(items(spark, sf_dir)))
 
 
 @query(f"WITH {JUDGEMENTS_SQL}, m AS (SELECT p_brand, provider, avg(faithfulness) AS score, count(*) AS n FROM judgements JOIN part ON item = p_partkey GROUP BY ALL), g AS (SELECT DISTINCT x.p_brand, y.provider FROM m x, m y) SELECT g.p_brand, g.provider, round(score, 6) AS score, n FROM g LEFT JOIN m USING (p_brand, provider)")
@@ -125,7 +91,7 @@ def token_cost(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(rows.groupBy("provider").agg(F.count("*").alias("n"), F.sum(cost).alias("usd")))
 
 
-@query(f"WITH {JUDGEMENTS_SQL} SELECT l_orderkey, l_linenumber, l_suppkey, item, round(CASE WHEN {_WB} > 0 THEN ({_W})::DOUBLE / ({_WB}) END, 6) AS jury, list_filter([{', '.join(f'CASE WHEN {c} IS NULL THEN {chr(39)}{c}{chr(39)} END' for c in CRITERIA)}], lambda x: x IS NOT NULL)::VARCHAR AS absent FROM judgements")
+@query(f"WITH {JUDGEMENTS_SQL} SELECT l_orderkey, l_linenumber, l_suppkey, item, round(CASE WHEN {WB_SQL} > 0 THEN ({W_SQL})::DOUBLE / ({WB_SQL}) END, 6) AS jury, list_filter([{', '.join(f'CASE WHEN {c} IS NULL THEN {chr(39)}{c}{chr(39)} END' for c in CRITERIA)}], lambda x: x IS NOT NULL)::VARCHAR AS absent FROM judgements")
 def jury_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     cols = {c: F.col(c) for c in CRITERIA}
     absent = F.concat(F.lit("["), F.array_join(s.missing(cols), ", "), F.lit("]"))
@@ -378,14 +344,14 @@ def interleave(spark: SparkSession, sf_dir: str) -> DataFrame:
     return q.interleave(table(spark, sf_dir, "conversations").select("conv_id", "turn"), "conv_id", "turn", 2)
 
 
-@query(f"""WITH seen AS (SELECT lang, doc_id, doc_id AS first_item FROM documents WHERE doc_id % 10 = 0),
-c AS (SELECT lang, doc_id, true AS carried FROM (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY first_item, doc_id) AS r FROM seen) WHERE r <= 4),
-f AS (SELECT lang, doc_id, row_number() OVER (PARTITION BY lang ORDER BY {_MD5.format(9, 'doc_id')}, doc_id) AS r FROM documents WHERE doc_id % 10 <> 0)
-SELECT lang, doc_id, carried FROM c UNION ALL SELECT f.lang, doc_id, false FROM f LEFT JOIN (SELECT lang, count(*) AS had FROM c GROUP BY lang) h USING (lang) WHERE r <= 12 - coalesce(had, 0)""")
+@query(f"""WITH pool AS (SELECT lang, doc_id FROM documents WHERE doc_id % 20 <> 0), seen AS (SELECT lang, doc_id, doc_id AS first_item FROM documents WHERE doc_id % 10 = 0),
+c AS (SELECT lang, doc_id, true AS carried FROM (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY first_item, doc_id) AS r FROM seen WHERE doc_id IN (SELECT doc_id FROM pool)) WHERE r <= 2),
+f AS (SELECT lang, doc_id, row_number() OVER (PARTITION BY lang ORDER BY {_MD5.format(9, 'doc_id')}, doc_id) AS r FROM pool WHERE doc_id NOT IN (SELECT doc_id FROM seen))
+SELECT lang, doc_id, carried FROM c UNION ALL SELECT f.lang, doc_id, false FROM f LEFT JOIN (SELECT lang, count(*) AS had FROM c GROUP BY lang) h USING (lang) WHERE r <= 5 - coalesce(had, 0)""")
 def carried_overlap(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("lang", "doc_id")
     previous = docs.where("doc_id % 10 = 0").withColumn("item_id", F.col("doc_id"))
-    return q.carried_overlap(docs, previous, "lang", "doc_id", "item_id", 12, 0.3, 9)
+    return q.carried_overlap(docs.where("doc_id % 20 <> 0"), previous, "lang", "doc_id", "item_id", 5, 0.5, 9)
 
 
 @query("""WITH p AS (SELECT o_orderkey, o_orderpriority, year(o_orderdate)::INT AS y, row_number() OVER (PARTITION BY o_orderpriority, year(o_orderdate) ORDER BY o_orderkey) AS place FROM orders),
@@ -435,17 +401,19 @@ def best_attempt(spark: SparkSession, sf_dir: str) -> DataFrame:
 # Statistics ----------------------------------------------------------------------------------------
 
 
-@query(f"""WITH {JUDGEMENTS_SQL}, u AS (SELECT provider, item, count(*) AS m, sum(faithfulness) AS s1, sum(faithfulness * faithfulness) AS s2 FROM judgements WHERE faithfulness IS NOT NULL GROUP BY ALL HAVING count(*) > 1),
+@query(f"""WITH {JUDGEMENTS_SQL}, o AS (SELECT provider, item, judge, avg(faithfulness) AS f FROM judgements WHERE faithfulness IS NOT NULL GROUP BY ALL), u AS (SELECT provider, item, count(*) AS m, sum(f) AS s1, sum(f * f) AS s2 FROM o GROUP BY ALL HAVING count(*) > 1),
 x AS (SELECT provider, count(*) AS n_units, sum(m) AS n, sum(s1) AS t1, sum(s2) AS t2, sum((2 * m * s2 - 2 * s1 * s1) / (m - 1)) AS within FROM u GROUP BY provider)
 SELECT provider, n_units, n::BIGINT AS n_ratings, round(CASE WHEN 2 * n * t2 - 2 * t1 * t1 = 0 THEN 1 ELSE 1 - (within / n) / ((2 * n * t2 - 2 * t1 * t1) / (n * (n - 1))) END, 6) AS alpha FROM x""")
 def krippendorff_alpha(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return rounded(st.krippendorff_alpha(judgements(spark, sf_dir), ["provider"], ["item"], "faithfulness"))
+    one = r.one_rating(judgements(spark, sf_dir), ["provider", "item"], "judge", "faithfulness")
+    return rounded(st.krippendorff_alpha(one, ["provider"], ["item"], "faithfulness"))
 
 
-@query(f"""WITH {JUDGEMENTS_SQL}, o AS (SELECT item, provider, judge, max(faithfulness) AS f FROM judgements GROUP BY ALL)
+@query(f"""WITH {JUDGEMENTS_SQL}, o AS (SELECT item, provider, judge, arg_max(faithfulness, l_orderkey * 1000000 + l_linenumber * 100000 + l_suppkey) AS f FROM judgements WHERE faithfulness IS NOT NULL GROUP BY ALL)
 SELECT a.judge AS judge_a, b.judge AS judge_b, count(*) AS n, round(avg(abs(a.f - b.f)), 6) AS mean_abs_diff, max(abs(a.f - b.f)) AS max_abs_diff FROM o a JOIN o b ON a.item = b.item AND a.provider = b.provider AND a.judge < b.judge WHERE a.f IS NOT NULL AND b.f IS NOT NULL GROUP BY 1, 2""")
 def pairwise_abs_diff(spark: SparkSession, sf_dir: str) -> DataFrame:
-    one = judgements(spark, sf_dir).groupBy("item", "provider", "judge").agg(F.max("faithfulness").alias("f"))
+    rated = judgements(spark, sf_dir).where("faithfulness is not null").select("item", "provider", "judge", F.col("faithfulness").alias("f"), "l_orderkey", "l_linenumber", "l_suppkey")
+    one = d.last_by(rated, ["item", "provider", "judge"], ["l_orderkey", "l_linenumber", "l_suppkey"])
     return rounded(st.pairwise_difference(one, ["item", "provider"], "judge", "f"))
 
 
@@ -482,25 +450,26 @@ def bland_altman(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(st.bland_altman(rows, ["l_returnflag"], "l_quantity", "line"))
 
 
-@query(f"""WITH {JUDGEMENTS_SQL}, i AS (SELECT item, provider, max(faithfulness) AS f FROM judgements GROUP BY ALL), b AS (SELECT item FROM i GROUP BY item HAVING count(f) = 3),
+@query(f"""WITH {SCORES_SQL}, i AS (SELECT item, provider, round(unweighted, 9) AS f FROM items), b AS (SELECT item FROM i GROUP BY item HAVING count(f) = 3),
 k AS (SELECT item, provider, rank() OVER (PARTITION BY item ORDER BY f) + (count(*) OVER (PARTITION BY item, f) - 1) / 2 AS r, count(*) OVER (PARTITION BY item, f) AS m FROM i JOIN b USING (item)),
 s AS (SELECT count(DISTINCT item) AS n, sum(m * m - 1) AS ties, sum(r) FILTER (provider = 'A') AS sa, sum(r) FILTER (provider = 'N') AS sn, sum(r) FILTER (provider = 'R') AS sr FROM k),
 z AS (SELECT *, (12.0 / 12 * (sa * sa + sn * sn + sr * sr) / n - 3 * n * 4) / (1 - ties / (n * 24)) AS x FROM s)
 SELECT n, round(x, 6) AS statistic, 2 AS df, round(sa / n, 6) AS "rank_A", round(sn / n, 6) AS "rank_N", round(sr / n, 6) AS "rank_R", round(exp(-x / 2), 6) AS p FROM z""")
 def friedman(spark: SparkSession, sf_dir: str) -> DataFrame:
-    one = judgements(spark, sf_dir).groupBy("item", "provider").agg(F.max("faithfulness").alias("f"))
+    one = items(spark, sf_dir).select("item", "provider", F.round("unweighted", 9).alias("f"))  # ties are ties in any order of summation
     return rounded(st.friedman(one, ["item"], "provider", "f", ["A", "N", "R"]))
 
 
-_WILCOXON = f"""WITH {JUDGEMENTS_SQL}, i AS (SELECT judge, item, max(faithfulness) FILTER (provider = 'A') - max(faithfulness) FILTER (provider = 'R') AS d FROM judgements GROUP BY ALL),
-k AS (SELECT judge, d, rank() OVER (PARTITION BY judge ORDER BY abs(d)) + (count(*) OVER (PARTITION BY judge, abs(d)) - 1) / 2 AS r FROM i WHERE d <> 0)
-SELECT judge, count(*) AS n, sum(CASE WHEN d > 0 THEN r ELSE 0 END) AS w_plus, sum(CASE WHEN d < 0 THEN r ELSE 0 END) AS w_minus, round(avg(d), 6) AS mean_diff FROM k GROUP BY judge"""
+_WILCOXON = f"""WITH {SCORES_SQL}, i AS (SELECT p_brand, item, round(max(unweighted) FILTER (provider = 'A') - max(unweighted) FILTER (provider = 'R'), 9) AS d FROM items JOIN part ON item = p_partkey GROUP BY ALL),
+k AS (SELECT p_brand, d, rank() OVER (PARTITION BY p_brand ORDER BY abs(d)) + (count(*) OVER (PARTITION BY p_brand, abs(d)) - 1) / 2 AS r FROM i WHERE d <> 0)
+SELECT p_brand, count(*) AS n, sum(CASE WHEN d > 0 THEN r ELSE 0 END) AS w_plus, sum(CASE WHEN d < 0 THEN r ELSE 0 END) AS w_minus, round(avg(d), 6) AS mean_diff FROM k GROUP BY p_brand"""
 
 
 def _wilcoxon(spark: SparkSession, sf_dir: str) -> DataFrame:
-    pick = lambda p: F.max(F.when(F.col("provider") == p, F.col("faithfulness")))
-    one = judgements(spark, sf_dir).groupBy("judge", "item").agg((pick("A") - pick("R")).alias("d"))
-    return st.wilcoxon(one, ["judge"], "d")
+    pick = lambda p: F.max(F.when(F.col("provider") == p, F.col("unweighted")))
+    part = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("item"), "p_brand")
+    one = items(spark, sf_dir).join(part, "item").groupBy("p_brand", "item").agg(F.round(pick("A") - pick("R"), 9).alias("d"))
+    return st.wilcoxon(one, ["p_brand"], "d")
 
 
 @query(_WILCOXON)
@@ -510,7 +479,7 @@ def wilcoxon_w(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query()
 def wilcoxon_q(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return st.benjamini_hochberg(_wilcoxon(spark, sf_dir).select("judge", "n", "p"), [], "p")
+    return st.benjamini_hochberg(_wilcoxon(spark, sf_dir).select("p_brand", "n", "p"), [], "p")
 
 
 @query("""WITH p AS (SELECT p_brand, p_partkey, (p_size * 7 % 50 + 1) / 51.0 AS p FROM part), r AS (SELECT *, p * count(*) OVER (PARTITION BY p_brand) / count(*) OVER (PARTITION BY p_brand ORDER BY p RANGE BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS raw FROM p)
@@ -547,4 +516,7 @@ def density_report(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query()
 def bootstrap_ci(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return rounded(st.bootstrap_ci(_items(spark, sf_dir), ["provider"], "unweighted"))
+    return rounded(st.bootstrap_ci(items(spark, sf_dir), ["provider"], "unweighted"))
+
+
+from lumenfold.plans import corpus, reports  # noqa: E402, F401  these register their queries

@@ -62,16 +62,29 @@ def scan_blocks(spark: SparkSession, folder: str, separator: str = r"\n-{3,}\n")
 
 
 def vendor_results(lines: DataFrame, vendor: str) -> DataFrame:
-    """custom_id, text, tokens_in, tokens_out, status of a batch result line (column ``object``), whichever vendor wrote it."""
+    """custom_id, text, tokens_in, tokens_out, cache_read, cache_written, status, provider of a batch result line (column ``object``).
+
+    ``tokens_in`` is all input: a vendor that counts cached tokens apart has them added. Text is that of all text blocks in
+    order; a line without any has failed, as has one whose vendor says so.
+    """
     paths = {
-        "openai": ("$.custom_id", "$.response.body.choices[0].message.content", "$.response.body.usage.prompt_tokens", "$.response.body.usage.completion_tokens"),
-        "anthropic": ("$.custom_id", "$.result.message.content[0].text", "$.result.message.usage.input_tokens", "$.result.message.usage.output_tokens"),
-        "gemini": ("$.key", "$.response.candidates[0].content.parts[0].text", "$.response.usageMetadata.promptTokenCount", "$.response.usageMetadata.candidatesTokenCount"),
+        "openai": ("$.custom_id", "$.response.body.choices[0].message.content", "$.response.body.usage.prompt_tokens", "$.response.body.usage.completion_tokens", "$.response.body.usage.prompt_tokens_details.cached_tokens", None),
+        "anthropic": ("$.custom_id", "$.result.message.content", "$.result.message.usage.input_tokens", "$.result.message.usage.output_tokens", "$.result.message.usage.cache_read_input_tokens", "$.result.message.usage.cache_creation_input_tokens"),
+        "gemini": ("$.key", "$.response.candidates[0].content.parts", "$.response.usageMetadata.promptTokenCount", "$.response.usageMetadata.candidatesTokenCount", "$.response.usageMetadata.cachedContentTokenCount", None),
     }[vendor]
-    names, kinds = ("custom_id", "text", "tokens_in", "tokens_out"), ("string", "string", "bigint", "bigint")
-    got = [F.try_variant_get("object", p, k).alias(n) for p, n, k in zip(paths, names, kinds)]
-    status = F.when(F.try_variant_get("object", paths[1], "string").isNotNull(), "success").otherwise("failed")
-    return lines.where("object is not null").select(*got, status.alias("status"), F.lit(vendor).alias("provider"))
+    custom_id, content, tokens_in, tokens_out, read, written = (F.lit(None) if p is None else F.try_variant_get("object", p, "string" if k < 1 else "variant" if k == 1 and vendor != "openai" else "string" if k == 1 else "bigint") for k, p in enumerate(paths))
+    if vendor == "openai":
+        text = F.nullif(content, F.lit(""))
+    else:
+        blocks = F.from_json(F.to_json(content), "array<struct<type: string, text: string>>")
+        said = F.filter(blocks, lambda b: b["text"].isNotNull() & F.coalesce(b["type"] == "text", F.lit(vendor == "gemini")))
+        text = F.nullif(F.array_join(F.transform(said, lambda b: b["text"]), ""), F.lit(""))
+    if vendor == "anthropic":
+        tokens_in = F.when(tokens_in.isNotNull(), tokens_in + F.coalesce(read, F.lit(0)) + F.coalesce(written, F.lit(0)))
+        text = F.when(F.try_variant_get("object", "$.result.type", "string") == "succeeded", text)
+    ok = F.when(text.isNotNull(), "success").otherwise("failed")
+    counts = [c.cast("long").alias(n) for c, n in ((tokens_in, "tokens_in"), (tokens_out, "tokens_out"), (read, "cache_read"), (written, "cache_written"))]
+    return lines.where("object is not null").select(custom_id.alias("custom_id"), text.alias("text"), *counts, ok.alias("status"), F.lit(vendor).alias("provider"))
 
 
 def append(rows: DataFrame, path: str, rehearsal: str, is_mock: Column) -> None:
@@ -81,15 +94,19 @@ def append(rows: DataFrame, path: str, rehearsal: str, is_mock: Column) -> None:
 
 
 def replace(rows: DataFrame, path: str) -> None:
-    """Write beside the target and rename: a reader sees the old rows or the new ones, and the target may be read from."""
+    """Write beside the target, then swap by two renames; the target may be read from.
+
+    The rows are whole before anything is renamed, and the old ones stay beside the target (``.old``) until the new ones are
+    in place. Between the renames a reader finds no target: folders have no atomic exchange.
+    """
     spark = rows.sparkSession
     staging, old = f"{path}.staging", f"{path}.old"
     rows.write.mode("overwrite").parquet(staging)
     jvm = spark.sparkContext._jvm
     target = jvm.org.apache.hadoop.fs.Path(path)
     fs = target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-    fs.delete(jvm.org.apache.hadoop.fs.Path(old), True)
     if fs.exists(target):
+        fs.delete(jvm.org.apache.hadoop.fs.Path(old), True)
         fs.rename(target, jvm.org.apache.hadoop.fs.Path(old))
     fs.rename(jvm.org.apache.hadoop.fs.Path(staging), target)
     fs.delete(jvm.org.apache.hadoop.fs.Path(old), True)

@@ -98,6 +98,12 @@ def test_replies():
     assert s.parse_reply(None) == {"method": "sentinel", "scores": {}} and s.parse_reply("[1]")["method"] == "sentinel"
 
 
+def test_reply_with_an_apostrophe():
+    said = "{'clarity': {'score': 4, 'why': 'it doesn't wander'},}"
+    assert s.parse_reply(said) == {"method": "regex", "scores": {}} or s.parse_reply(said)["scores"] == {"clarity": 4.0}
+    assert s.parse_reply("{'clarity': 3, 'note': \"the judge's view\"}") == {"method": "json_repaired", "scores": {"clarity": 3.0}}
+
+
 def test_text(spark):
     one = lambda c: spark.range(1).select(c.alias("x")).collect()[0].x
     assert one(t.tokens(F.lit("A b-C9 é"))) == ["a", "b", "c9"]
@@ -151,6 +157,19 @@ def test_blocks_and_vendors(spark, tmp_path):
     assert [(r.custom_id, r.text, r.tokens_in, r.status) for r in got] == [("f", None, None, "failed"), ("s__p", "hi", 3, "success")]
 
 
+def test_vendors_count_all_input(spark, tmp_path):
+    lines = [
+        '{"custom_id": "a__x", "result": {"type": "succeeded", "message": {"content": [{"type": "text", "text": "one "}, {"type": "tool_use"}, {"type": "text", "text": "two"}], "usage": {"input_tokens": 10, "output_tokens": 3, "cache_read_input_tokens": 70, "cache_creation_input_tokens": 20}}}}',
+        '{"custom_id": "b__x", "result": {"type": "errored", "message": {"content": [{"type": "text", "text": "lost"}]}}}',
+    ]
+    (tmp_path / "r.jsonl").write_text("\n".join(lines))
+    got = ledger.vendor_results(ledger.scan_lines(spark, str(tmp_path / "r.jsonl")), "anthropic").orderBy("custom_id").collect()
+    assert [(r.text, r.tokens_in, r.tokens_out, r.cache_read, r.cache_written, r.status) for r in got] == [("one two", 100, 3, 70, 20, "success"), (None, None, None, None, None, "failed")]
+    (tmp_path / "g.jsonl").write_text('{"key": "k", "response": {"candidates": [{"content": {"parts": [{"text": "a"}, {"text": "b"}]}}], "usageMetadata": {"promptTokenCount": 5, "candidatesTokenCount": 2}}}')
+    got = ledger.vendor_results(ledger.scan_lines(spark, str(tmp_path / "g.jsonl")), "gemini").collect()[0]
+    assert (got.custom_id, got.text, got.tokens_in, got.tokens_out, got.status) == ("k", "ab", 5, 2, "success")
+
+
 def test_replace_reads_its_own_target(spark, tmp_path):
     path = str(tmp_path / "t")
     spark.range(3).write.parquet(path)
