@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lumenfold.operators.dedup import last_by
+from lumenfold.operators.dedup import last_by, with_fallback
 
 
 def slot_done(status: Column, mock: Column, rehearsal: bool = False) -> Column:
@@ -60,6 +60,26 @@ def reference_text(processed: Column, abstract: Column, title: Column) -> Column
     return F.coalesce(*[F.nullif(F.trim(c), F.lit("")) for c in (processed, abstract, title)])
 
 
+def cached_text(records: DataFrame, texts: DataFrame, name: str, slug: str, suffix: str, value: str = "text") -> DataFrame:
+    """``value`` of the text whose stem is the record's name, else its slug, else ends in ``__`` and its suffix.
+
+    ``texts`` (stem, value) has one row a stem; of several with one suffix the least stem counts. Keys are equal, never searched.
+    """
+    ends = texts.select(F.element_at(F.split("stem", "__"), -1).alias(suffix), "stem", value).where(F.col("stem").contains("__"))
+    ends = ends.groupBy(suffix).agg(F.min_by(value, "stem").alias(value))
+    by_stem = lambda key: texts.select(F.col("stem").alias(key), value)
+    return with_fallback(records, [(by_stem(name), [name]), (by_stem(slug), [slug]), (ends, [suffix])], value)
+
+
+def tasks_of(scenarios: DataFrame, tasks: DataFrame, categories: DataFrame) -> DataFrame:
+    """Each scenario with its task and the task's category, null where the taxonomy does not know it.
+
+    ``tasks``: scenario, task, category; ``categories``: category, category_name. Of a scenario on several tasks the first task counts.
+    """
+    first = tasks.groupBy("scenario").agg(F.min_by(F.struct("task", "category"), "task").alias("x")).select("scenario", "x.*")
+    return scenarios.join(first, "scenario", "left").join(categories, "category", "left").select(*scenarios.columns, "task", "category", "category_name")
+
+
 def unblinded(sheet: DataFrame, keys: DataFrame, on: list[str]) -> tuple[DataFrame, DataFrame]:
     """Scoresheet rows with what their key says, in order; and rows that no key knows, to be warned about."""
     return sheet.join(keys, on).orderBy(*on), sheet.join(keys.select(*on).distinct(), on, "left_anti")

@@ -9,6 +9,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from lumenfold.operators.prefix import block_window, in_blocks, with_totals_before
+
 
 def shuffle_key(seed: int, *cols: str) -> Column:
     return F.md5(F.concat_ws("|", F.lit(str(seed)), *[F.col(c).cast("string") for c in cols]))
@@ -124,18 +126,30 @@ def deficit_sample(pool: DataFrame, have: DataFrame, stratum: str, key: str, tar
 
 
 def running_total(df: DataFrame, by: list[str], order: list[str], cost: str, limit: float) -> DataFrame:
-    """Running spend of each ledger and whether a row is the first beyond the limit."""
-    w = Window.partitionBy(*by).orderBy(*order)
-    spent = F.sum(cost).over(w.rowsBetween(Window.unboundedPreceding, Window.currentRow))
-    out = df.withColumn("spent", spent).withColumn("over", F.col("spent") > limit)
-    return out.withColumn("stops", F.col("over") & ~F.coalesce(F.lag("over").over(w), F.lit(False)))
-
-
-def until_quota(df: DataFrame, by: str, order: list[Column], ok: str, target: int, most_failures: int) -> DataFrame:
-    """Rows tried in order until a group has ``target`` successes or ``most_failures`` failures before it."""
-    w = Window.partitionBy(by).orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
-    done, lost = F.coalesce(F.sum(F.col(ok).cast("int")).over(w), F.lit(0)), F.coalesce(F.sum((~F.col(ok)).cast("int")).over(w), F.lit(0))
-    return df.withColumn("done", done).withColumn("lost", lost).where((F.col("done") < target) & (F.col("lost") < most_failures))
+    """Running spend of each ledger and whether a row is the first beyond the limit.
+
+    The first order column must be a number or a time: a ledger is cut along it, so no task holds a whole one.
+    """
+    rows = with_totals_before(in_blocks(df, by, order[0]), by, __before=F.col(cost), __known=F.col(cost).isNotNull().cast("long"))
+    w = block_window(by, [F.col(c) for c in order])
+    so_far = w.rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    spent = F.when(F.col("__known") + F.count(cost).over(so_far) > 0, F.col("__before") + F.coalesce(F.sum(cost).over(so_far), F.lit(0)))
+    out = rows.withColumn("spent", spent).withColumn("over", F.col("spent") > limit)
+    earlier = F.coalesce(F.lag("over").over(w), F.col("__before") > limit)
+    return out.withColumn("stops", F.col("over") & ~earlier).select(*df.columns, "spent", "over", "stops")
+
+
+def until_quota(df: DataFrame, by: str, order: str, ok: str, target: int, most_failures: int) -> DataFrame:
+    """Rows tried in order until a group has ``target`` successes or ``most_failures`` failures before it.
+
+    ``order`` must be a number or a time and differ among the rows of a group.
+    """
+    won, lost = F.col(ok).cast("long"), (~F.col(ok)).cast("long")
+    rows = with_totals_before(in_blocks(df, [by], order), [by], __won=won, __lost=lost)
+    w = block_window([by], [F.col(order)]).rowsBetween(Window.unboundedPreceding, -1)
+    so_far = lambda c, before: F.col(before) + F.coalesce(F.sum(c).over(w), F.lit(0))
+    out = rows.withColumn("done", so_far(won, "__won")).withColumn("lost", so_far(lost, "__lost"))
+    return out.select(*df.columns, "done", "lost").where((F.col("done") < target) & (F.col("lost") < most_failures))
 
 
 def capped_new(todo: DataFrame, done: DataFrame, keys: list[str], by: list[str], order: list[str], most: int) -> DataFrame:

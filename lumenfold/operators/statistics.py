@@ -10,6 +10,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, LongType, StructField, StructType
 
+from lumenfold.operators.prefix import block_window, in_blocks, null_safe_join, with_totals_before
+
 
 def krippendorff_alpha(rows: DataFrame, by: list[str], unit: list[str], value: str) -> DataFrame:
     """Interval alpha of each group: 1 - observed / expected disagreement over units with two ratings or more.
@@ -77,17 +79,15 @@ def correlation(rows: DataFrame, by: list[str], x: str, y: str) -> DataFrame:
 
 
 def average_rank(df: DataFrame, by: list[str], value: str, name: str) -> DataFrame:
-    """Ranks from 1, ties averaged.
+    """Ranks from 1, ties averaged; ``value`` is a number.
 
-    Counts of distinct values are ranked, not rows, and joined back: a group's window holds its distinct values.
+    Counts of distinct values are ranked, not rows, in blocks of a range of values each, and joined back.
     """
-    counts = df.groupBy(*by, value).agg(F.count("*").alias("__m"))
-    before = Window.partitionBy(*by).orderBy(value).rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    place = (F.sum("__m").over(before) - (F.col("__m") - 1) / 2).alias(name)
-    keys = [*by, value]
-    ranks = counts.select(*[F.col(c).alias(f"__key{k}") for k, c in enumerate(keys)], place)
-    on = [F.col(c).eqNullSafe(F.col(f"__key{k}")) for k, c in enumerate(keys)]
-    return df.join(ranks, on, "left").select(*df.columns, name)
+    counts = in_blocks(df.groupBy(*by, value).agg(F.count("*").alias("__m")), by, value)
+    counts = with_totals_before(counts, by, __before=F.col("__m"))
+    within = block_window(by, [F.col(value)]).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    place = (F.col("__before") + F.sum("__m").over(within) - (F.col("__m") - 1) / 2).alias(name)
+    return null_safe_join(df, counts.select(*by, value, place), [*by, value]).select(*df.columns, name)
 
 
 def rank_correlation(rows: DataFrame, by: list[str], x: str, y: str) -> DataFrame:

@@ -380,7 +380,7 @@ def budget_running_total(spark: SparkSession, sf_dir: str) -> DataFrame:
 SELECT * FROM r WHERE done < 50 AND lost < 300""")
 def until_quota(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = table(spark, sf_dir, "events").select("event_id", "event_type", (F.col("value") > 5).alias("ok"))
-    return q.until_quota(rows, "event_type", [F.col("event_id")], "ok", 50, 300)
+    return q.until_quota(rows, "event_type", "event_id", "ok", 50, 300)
 
 
 @query("SELECT doc_id, lang, r AS round FROM (SELECT doc_id, lang, row_number() OVER (PARTITION BY lang ORDER BY doc_id)::INT AS r FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM labels)) WHERE r <= 15")
@@ -519,4 +519,4 @@ def bootstrap_ci(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(st.bootstrap_ci(items(spark, sf_dir), ["provider"], "unweighted"))
 
 
-from lumenfold.plans import corpus, reports  # noqa: E402, F401  these register their queries
+from lumenfold.plans import columns, corpus, reports  # noqa: E402, F401  these register their queries

@@ -40,6 +40,24 @@ def scan_texts(spark: SparkSession, folder: str) -> DataFrame:
     return rows.select("doi", F.coalesce(F.nullif("slug", F.lit("")), stem).alias("slug"), "text", "word_count", "char_count")
 
 
+def scan_keys(spark: SparkSession, folder: str) -> DataFrame:
+    """reviewer_id, item_id, key of JSON files that map the items of one reviewer each, named by its folder or file."""
+    rows = spark.read.option("multiLine", True).option("recursiveFileLookup", True).option("pathGlobFilter", "*.json").schema("items map<string, string>").json(folder)
+    return rows.select(F.regexp_extract("_metadata.file_path", r"(human\d+)", 1).alias("reviewer_id"), F.explode("items").alias("item_id", "key"))
+
+
+def scan_first_lines(spark: SparkSession, folder: str, pattern: str) -> DataFrame:
+    """file and the pattern's match in the first line that is not blank, lower-cased; files without one are left out."""
+    files = spark.read.text(folder, wholetext=True).select(F.col("_metadata.file_name").alias("file"), F.regexp_extract("value", r"\A\s*([^\n\r]*)", 1).alias("line"))
+    return files.select("file", F.lower(F.nullif(F.regexp_extract("line", pattern, 0), F.lit(""))).alias("found")).where("found is not null")
+
+
+def scan_counts(texts: DataFrame) -> DataFrame:
+    """slug, word_count and char_count of :func:`scan_texts`; counts that a file does not state are taken from its text."""
+    words = F.regexp_count(F.coalesce("text", F.lit("")), F.lit(r"\S+")).cast("long")
+    return texts.select("slug", F.coalesce("word_count", words).alias("word_count"), F.coalesce("char_count", F.length(F.coalesce("text", F.lit(""))).cast("long")).alias("char_count"))
+
+
 def scan_scoresheets(spark: SparkSession, folder: str, columns: list[str]) -> DataFrame:
     """CSV scoresheets as strings; the reviewer is the folder's or file's name."""
     schema = StructType.fromDDL(", ".join(f"`{c}` string" for c in columns))
@@ -93,6 +111,28 @@ def append(rows: DataFrame, path: str, rehearsal: str, is_mock: Column) -> None:
     rows.where(F.coalesce(is_mock, F.lit(False))).write.mode("append").json(rehearsal)
 
 
+def log_errors(rows: DataFrame, path: str, stage: str, key: str, message: str, **more: Column) -> None:
+    """Append error events: time, stage, key, message and what else is given."""
+    event = [F.current_timestamp().alias("at"), F.lit(stage).alias("stage"), F.col(key).cast("string").alias("key"), F.col(message).alias("message")]
+    rows.select(*event, *[c.alias(n) for n, c in more.items()]).write.mode("append").json(path)
+
+
+def write_report(tables: dict[str, DataFrame], folder: str, stamp: str) -> list[str]:
+    """Report tables of a few rows as JSON and CSV under names that end in a time, so that no run overwrites another's."""
+    paths = []
+    for name, rows in tables.items():
+        path = f"{folder}/{name}_{stamp}"
+        rows.coalesce(1).write.mode("errorifexists").json(f"{path}.json")
+        rows.coalesce(1).write.mode("errorifexists").option("header", True).csv(f"{path}.csv")
+        paths += [f"{path}.json", f"{path}.csv"]
+    return paths
+
+
+def write_packets(rows: DataFrame, folder: str, reviewer: str = "reviewer_id") -> None:
+    """One folder for each reviewer with the rows that they are to judge."""
+    rows.write.mode("overwrite").partitionBy(reviewer).json(folder)
+
+
 def replace(rows: DataFrame, path: str) -> None:
     """Write beside the target, then swap by two renames; the target may be read from.
 

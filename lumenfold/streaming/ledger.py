@@ -31,6 +31,23 @@ def merge_once(stream: DataFrame, ledger: str, keys: list[str], checkpoint: str,
     return stream.writeStream.foreachBatch(merge).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
+def poll_once(jobs: DataFrame, marker: str, key: str, merge: Callable[[DataFrame], None]) -> int:
+    """Merge the finished jobs that no marker names yet, then mark them; how many there were.
+
+    A poll that fails before it has marked its jobs does them again: ``merge`` must bear that, as :func:`merge_once` does.
+    """
+    spark = jobs.sparkSession
+    spark.createDataFrame([], jobs.select(key).schema).write.mode("append").parquet(marker)
+    done = spark.read.schema(jobs.select(key).schema).parquet(marker)
+    new = jobs.join(done.distinct(), key, "left_anti")
+    keys = [r[0] for r in new.select(key).distinct().collect()]  # jobs of one poll, a few each
+    if keys:
+        some = jobs.where(jobs[key].isin(keys))
+        merge(some)
+        spark.createDataFrame([(k,) for k in keys], jobs.select(key).schema).write.mode("append").parquet(marker)
+    return len(keys)
+
+
 def running_counts(stream: DataFrame, time: str, late: str, window: str, by: str) -> DataFrame:
     """Events of each window and kind; events later than ``late`` are dropped with their window's state."""
     from pyspark.sql import functions as F

@@ -186,3 +186,45 @@ def test_stream_merges_once(spark, tmp_path):
             (tmp_path / "in" / "b.json").write_text(text)
         stream.merge_once(rows(), str(tmp_path / "ledger"), ["k"], str(tmp_path / "check")).awaitTermination()
     assert sorted((r.k, r.v) for r in spark.read.parquet(str(tmp_path / "ledger")).collect()) == [(1, "a"), (2, "b")]
+
+
+def test_small_sources_and_sinks(spark, tmp_path):
+    from pyspark.sql import functions as F
+
+    (tmp_path / "keys" / "human2").mkdir(parents=True)
+    (tmp_path / "keys" / "human2" / "key.json").write_text('{"items": {"item_1": "a", "item_2": "b"}}')
+    assert sorted(map(tuple, ledger.scan_keys(spark, str(tmp_path / "keys")).collect())) == [("human2", "item_1", "a"), ("human2", "item_2", "b")]
+    (tmp_path / "texts").mkdir()
+    (tmp_path / "texts" / "a.txt").write_text("\n \n10.1234/AbC title\n10.9/x")
+    (tmp_path / "texts" / "b.txt").write_text("nothing\n10.1234/late")
+    assert [tuple(r) for r in ledger.scan_first_lines(spark, str(tmp_path / "texts"), r"10\.\d{4,9}/\S+").collect()] == [("a.txt", "10.1234/abc")]
+    (tmp_path / "cache").mkdir()
+    (tmp_path / "cache" / "s.json").write_text('{"doi": "1", "slug": "", "text": "one two", "word_count": 9}')
+    assert [tuple(r) for r in ledger.scan_counts(ledger.scan_texts(spark, str(tmp_path / "cache"))).collect()] == [("s", 9, 7)]
+
+    errors = spark.createDataFrame([(1, "no file")], "k int, m string")
+    for stage in ("read", "join"):
+        ledger.log_errors(errors, str(tmp_path / "errors"), stage, "k", "m", attempt=F.lit(2))
+    assert sorted((r.stage, r.key, r.message, r.attempt) for r in spark.read.json(str(tmp_path / "errors")).collect()) == [("join", "1", "no file", 2), ("read", "1", "no file", 2)]
+    assert len(ledger.write_report({"t": errors}, str(tmp_path / "r"), "20240101T000000Z")) == 2
+    with pytest.raises(Exception, match="already exists"):
+        ledger.write_report({"t": errors}, str(tmp_path / "r"), "20240101T000000Z")
+    ledger.write_packets(spark.createDataFrame([("human1", 1), ("human2", 2)], "reviewer_id string, item int"), str(tmp_path / "p"))
+    assert {x.name for x in (tmp_path / "p").iterdir() if x.is_dir()} == {"reviewer_id=human1", "reviewer_id=human2"}
+    ledger.append(spark.createDataFrame([(1, False), (2, True), (3, None)], "k int, mock boolean"), str(tmp_path / "facts"), str(tmp_path / "mock"), F.col("mock"))
+    assert sorted(r.k for r in spark.read.json(str(tmp_path / "facts")).collect()) == [1, 3] and [r.k for r in spark.read.json(str(tmp_path / "mock")).collect()] == [2]
+    ledger.write_requests(spark.createDataFrame([("a", 1, "x")], "id string, n int, t string"), str(tmp_path / "q"), "id", ["n", "t"])
+    assert spark.read.text(str(tmp_path / "q")).collect()[0][0] == '{"custom_id":"a","body":{"n":1,"t":"x"}}'
+    (tmp_path / "sheets" / "human3").mkdir(parents=True)
+    (tmp_path / "sheets" / "human3" / "s.csv").write_text("item_id,score\ni1,4\ni2,\n")
+    assert [(r.item_id, r.score, r.reviewer_id) for r in ledger.scan_scoresheets(spark, str(tmp_path / "sheets"), ["item_id", "score"]).orderBy("item_id").collect()] == [("i1", "4", "human3"), ("i2", None, "human3")]
+
+
+def test_jobs_are_merged_once(spark, tmp_path):
+    from lumenfold.streaming.ledger import poll_once
+
+    merged = []
+    jobs = spark.createDataFrame([("a", 1), ("b", 2)], "job string, n int")
+    poll = lambda rows: poll_once(rows, str(tmp_path / "marks"), "job", lambda x: merged.append(sorted(r.job for r in x.collect())))
+    assert poll(jobs) == 2 and poll(jobs) == 0
+    assert poll(jobs.union(spark.createDataFrame([("c", 3)], jobs.schema))) == 1 and merged == [["a", "b"], ["c"]]

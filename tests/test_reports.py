@@ -79,3 +79,52 @@ def test_guard_and_repair(spark):
     row = spark.range(1).select(c.repaired_summary({"headline": F.lit("H"), "key_findings": F.array(*map(F.lit, "abcdefg"))}).alias("s")).select("s.*", c.readable_summary(F.col("s")).alias("shown")).collect()[0]
     assert row.summary_text == "Results: a b c d e f g" and row.objective == "Not reported" and row.limitations == []
     assert "Results\n- a\n- b\n- c\n- d\n- e\n\nLimitations\nNot reported" in row.shown
+
+
+def test_running_totals_across_blocks(spark, monkeypatch):
+    from lumenfold.operators import prefix
+
+    monkeypatch.setattr(prefix, "BLOCKS", 7)
+    rows = [(g, k, float(k % 5)) for g in ("a", None) for k in range(300)] + [("b", 1, None)]
+    got = sorted(((x.g or "", x.k, x.spent, x.over, x.stops) for x in q.running_total(spark.createDataFrame(rows, "g string, k int, v double"), ["g"], ["k"], "v", 100.0).collect()), key=str)
+    want = []
+    for g in ("a", None):
+        total = 0.0
+        for k in range(300):
+            before, total = total, total + k % 5
+            want.append((g or "", k, total, total > 100, total > 100 >= before))
+    assert [x for x in got if x[0] != "b"] == sorted(want, key=str) and [x for x in got if x[0] == "b"][0][2] is None
+
+
+def test_ranks_across_blocks(spark, monkeypatch):
+    from lumenfold.operators import prefix
+
+    monkeypatch.setattr(prefix, "BLOCKS", 5)
+    rows = [(k % 3 or None, float(k * 37 % 50)) for k in range(200)]
+    got = sorted(((x.g or 0, x.v, x.r) for x in st.average_rank(spark.createDataFrame(rows, "g int, v double"), ["g"], "v", "r").collect()))
+    want = []
+    for g, v in rows:
+        own = [y for h, y in rows if h == g]
+        want.append((g or 0, v, sum(y < v for y in own) + (sum(y == v for y in own) + 1) / 2))
+    assert got == sorted(want)
+
+
+def test_settings_and_guards(tmp_path):
+    from lumenfold.functions import guards as g
+
+    assert g.first_setting({"A": " ", "B": "x"}, ["A", "B"], "z") == "x" and g.first_setting({}, ["A"], "z") == "z"
+    assert g.prices_of((1.0, 2.0), (3.0, 4.0), "premium") == (3.0, 4.0) and g.prices_of((1.0,), (1.0,), "regular") == (1.0,)
+    with pytest.raises(ValueError, match="premium"):
+        g.prices_of((1.0,), (1.0,), "premium")
+    good = {"version": "v", "score_range": {"min": 1, "max": 5}, "dimensions": {"a": {"description": "d", "anchors": dict.fromkeys(range(1, 6), "x")}}}
+    g.checked_rubric(good, "v", ("a",))
+    for bad in ({"version": "w"}, {"score_range": {"min": 0, "max": 5}}, {"dimensions": {"b": {}}}, {"dimensions": {"a": {"description": "d", "anchors": {1: "x"}}}}):
+        with pytest.raises(ValueError):
+            g.checked_rubric(good | bad, "v", ("a",))
+    g.authorised(1.0, "judging")
+    g.authorised(0.0, "judging", rehearsal=True)
+    with pytest.raises(RuntimeError):
+        g.authorised(0.0, "judging")
+    assert g.same_file(None, "x") and g.same_file(f"{tmp_path}/a/../b", f"{tmp_path}/b") and not g.same_file("a", "b")
+    with pytest.raises(ValueError):
+        g.prompt_segments("{CANDIDATE_SUMMARY}{REFERENCE_TEXT}", None, None)
