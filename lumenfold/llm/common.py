@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import ctypes
 import gc
+import os
 import uuid
 from collections.abc import Callable, Iterator
 from typing import Any
@@ -14,6 +16,9 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
+#: Present in glibc only.
+_TRIM = getattr(ctypes.CDLL(None), "malloc_trim", None) if os.name == "posix" else None
+_BATCH, BATCH_ROWS = "spark.sql.execution.arrow.maxRecordsPerBatch", 2_000
 #: What a Python worker keeps from task to task, one entry at a time: the operator that runs.
 _KEPT: dict[tuple[str, ...], object] = {}
 
@@ -23,12 +28,27 @@ def kept(key: tuple[str, ...], make: Callable[[], Any]) -> Any:
     if key not in _KEPT:
         _KEPT.clear()
         gc.collect()
-        pa.default_memory_pool().release_unused()
+        tidy()
         _KEPT[key] = make()
     return _KEPT[key]
 
 
+def small_batches(spark: SparkSession) -> None:
+    """Texts are long: an Arrow batch of ``BATCH_ROWS`` rows is some megabytes already, in the JVM and in the Python worker."""
+    if not 0 < int(spark.conf.get(_BATCH)) <= BATCH_ROWS:
+        spark.conf.set(_BATCH, BATCH_ROWS)
+
+
+def tidy() -> None:
+    """Give back what allocators of a Python worker have kept; called at the end of a task."""
+    pa.default_memory_pool().release_unused()
+    if _TRIM is not None:
+        _TRIM(0)
+
+
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    """A table of the driver's, for queries and stages."""
+    small_batches(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
@@ -50,7 +70,12 @@ def written(df: DataFrame, label: str, **options: str) -> DataFrame:
     """Write ``df`` to the shared folder and read it back: cuts lineage and survives lost executors."""
     spark = df.sparkSession
     path = shared_path(spark, label)
-    df.write.options(**options).parquet(path)
+    before = spark.conf.get(_BATCH)
+    small_batches(spark)
+    try:
+        df.write.options(**options).parquet(path)
+    finally:
+        spark.conf.set(_BATCH, before)
     return spark.read.schema(df.schema).parquet(path)
 
 
@@ -104,6 +129,7 @@ def slices(batches: Iterator[pa.RecordBatch], text: str, limit: int) -> Iterator
         for a, b in zip(cuts, cuts[1:]):
             if b > a:
                 yield batch.slice(a, b - a)
+    tidy()
 
 
 def strings(batch: pa.RecordBatch, name: str) -> list[str]:

@@ -37,7 +37,7 @@ from lumenfold.llm.common import kept, slices, strings
 MARK = "▁"
 _UNIT = re.compile(" +[^ ]*")
 #: Words and pairs of pieces that a worker remembers; some 200 and 100 bytes each.
-_MEMO_WORDS, _MEMO_PAIRS = 250_000, 500_000
+_MEMO_WORDS, _MEMO_PAIRS = 200_000, 300_000
 
 
 def model_path() -> str:
@@ -278,7 +278,7 @@ def lists(ids: list[np.ndarray]) -> pa.ListArray:
     return pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate([*ids, np.zeros(0, np.int32)]), pa.int32()))
 
 
-def encode_pieces(docs: DataFrame, model: str | None = None, id_col: str = "doc_id", text_col: str = "text", unigram: bool = False, chunk: int = 2_000_000) -> DataFrame:
+def encode_pieces(docs: DataFrame, model: str | None = None, id_col: str = "doc_id", text_col: str = "text", unigram: bool = False, chunk: int = 1_000_000) -> DataFrame:
     """One row for each row of ``docs``: id, ids (list of int), for whole texts.
 
     Null and empty texts have no ids. Null ids stay null, repeated rows are encoded each, an empty
@@ -322,7 +322,7 @@ def decode_pieces(tokens: DataFrame, model: str | None = None, id_col: str = "do
     return tokens.select(id_col, "ids").mapInArrow(decode, schema)
 
 
-def round_trip(docs: DataFrame, model: str | None = None, id_col: str = "doc_id", text_col: str = "text", with_ids: bool = False, chunk: int = 2_000_000) -> DataFrame:
+def round_trip(docs: DataFrame, model: str | None = None, id_col: str = "doc_id", text_col: str = "text", with_ids: bool = False, chunk: int = 1_000_000) -> DataFrame:
     """What :func:`decode_pieces` makes of :func:`encode_pieces`, both in one pass: no ids travel between two workers.
 
     The text is decoded from the ids alone. Null and empty texts give an empty text without ids; null ids of rows

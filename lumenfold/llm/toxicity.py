@@ -30,7 +30,7 @@ from lumenfold.llm.common import held_out, id_fold, kept, least_ids, slices, str
 
 _LETTERS = bytes(c if 97 <= c <= 122 or c >= 128 else c + 32 if 65 <= c <= 90 else 32 for c in range(256))
 #: Words that a worker remembers, some 170 bytes each.
-_MEMO_WORDS = 300_000
+_MEMO_WORDS = 200_000
 
 
 def words_of(text: str) -> list[bytes]:
@@ -181,7 +181,7 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, each: int = 900, longest: i
     return train(*training_rows(docs, labels, each, longest, id_col, text_col, label_col), **options)
 
 
-def score_toxicity(docs: DataFrame, model: ToxicityModel, id_col: str = "doc_id", text_col: str = "text", threshold: float = 0.7, chunk: int = 2_000_000) -> DataFrame:
+def score_toxicity(docs: DataFrame, model: ToxicityModel, id_col: str = "doc_id", text_col: str = "text", threshold: float = 0.7, chunk: int = 1_000_000) -> DataFrame:
     """One row for each row of ``docs``: ``id_col``, held_out, score, predicted.
 
     Null and empty texts get the score of a passage without words. Null ids stay null and are not
@@ -200,7 +200,7 @@ def score_toxicity(docs: DataFrame, model: ToxicityModel, id_col: str = "doc_id"
     return out.select(id_col, held_out(id_col).alias("held_out"), "score", (F.col("score") >= threshold).cast("int").alias("predicted"))
 
 
-def drop_toxic(docs: DataFrame, model: ToxicityModel, text_col: str = "text", threshold: float = 0.7, chunk: int = 2_000_000) -> DataFrame:
+def drop_toxic(docs: DataFrame, model: ToxicityModel, text_col: str = "text", threshold: float = 0.7, chunk: int = 1_000_000) -> DataFrame:
     """The rows of ``docs`` that score less than ``threshold``, with all their columns.
 
     A null or empty text scores as in :func:`score_toxicity`; repeated rows stay or go together; an empty table
