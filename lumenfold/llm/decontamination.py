@@ -7,7 +7,9 @@ Burrows-Wheeler transform in a wavelet matrix with block ranks, and samples suff
 Every benchmark window is searched backwards through the ranks, all windows at once; occurrences
 are located by walking to the next sampled position, and their word ranges are merged.
 
-No row is shuffled. The benchmark is read in blocks of a bounded number of words; each block is
+The index does not hold the rest of a shard: a match cannot touch it.
+
+No row is shuffled. The benchmark is read in blocks of a bounded number of bytes; a few blocks are
 one broadcast and one pass of the same stage, so a benchmark of any size is searched whole.
 """
 
@@ -15,14 +17,14 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterator
-from itertools import repeat
+from itertools import islice, repeat
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lumenfold.llm.common import byte_strings, slices
+from lumenfold.llm.common import byte_strings, kept, slices
 
 #: Lower-cases A-Z, keeps digits, letters and all non-ASCII bytes; the rest separates words.
 _FOLD = bytes(
@@ -32,6 +34,8 @@ _FOLD = bytes(
 _WORD = re.compile(r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+")
 _SPANS = "array<struct<first:int,last:int>>"
 _SEPARATOR = 1
+#: Blocks of the benchmark that one pass searches.
+GROUP = 4
 
 
 def words_of(text: bytes) -> list[bytes]:
@@ -250,41 +254,52 @@ def find_contamination(
 ) -> DataFrame:
     """One row for each row of ``docs``: ``id_col``, ``text_col``, n_words, n_hit, item_ids, spans, contaminated.
 
-    The columns to ``carry`` come along.
+    The columns to ``carry`` come along; one that has the name of a column of the result is called ``carried_`` and its name.
     ``spans`` are merged ranges of words (first included, last not) inside any occurrence of a
     benchmark window; a window is ``window`` consecutive words, an item of fewer words is one window.
     ``contaminated``: n_hit > 0 and ``share`` * n_hit >= n_words.
-    Null or empty texts have no words and no hits; null ids stay null; repeated rows are judged each;
-    items without an id or without words have no window; an empty benchmark hits nothing. Other
+    Null or empty texts have no words and no hits; null ids stay null; repeated rows are judged each; an empty table gives no rows;
+    items without an id or without words have no window; items that repeat an id are one item; an empty benchmark hits nothing. Other
     columns of either table are not read.
     """
     spark = docs.sparkSession
+    extra = [f"__carry{k}" for k in range(len(carry))]
     out = docs.select(
-        F.col(id_col), F.col(text_col), F.lit(0).cast("long").alias("n_words"),
-        F.array().cast("array<string>").alias("item_ids"), F.array().cast(_SPANS).alias("spans"), *[F.col(c) for c in carry],
+        F.col(id_col).alias("__id"), F.col(text_col).alias("__text"), F.lit(0).cast("long").alias("n_words"),
+        F.array().cast("array<string>").alias("item_ids"), F.array().cast(_SPANS).alias("spans"), *[F.col(c).alias(x) for c, x in zip(carry, extra)],
     )
     schema = out.schema
     blocks = _blocks(benchmark, item_col, item_text_col, block_bytes)
-    for block in [next(blocks, []), *blocks]:
-        phrases = spark.sparkContext.broadcast(Phrases(block, window))
+    # a few blocks share a pass of the documents; each is an index search of its own
+    group = list(islice(blocks, GROUP)) or [[]]
+    while group:
+        phrases = spark.sparkContext.broadcast([Phrases(block, window) for block in group])
 
         def search(batches: Iterator[pa.RecordBatch], phrases=phrases) -> Iterator[pa.RecordBatch]:
-            for batch in slices(batches, text_col, shard_bytes):
-                counts, spans, items = search_shard(byte_strings(batch, text_col), phrases.value)
-                before = batch.column("spans").to_pylist()
-                spans = [merge([(x["first"], x["last"]) for x in old], new) for old, new in zip(before, spans)]
-                items = [sorted(items_new.union(old)) for old, items_new in zip(batch.column("item_ids").to_pylist(), items)]
+            kept(("decontamination",), dict)
+            for batch in slices(batches, "__text", shard_bytes):
+                texts = byte_strings(batch, "__text")
+                spans = [[(x["first"], x["last"]) for x in old] for old in batch.column("spans").to_pylist()]
+                items = [set(old) for old in batch.column("item_ids").to_pylist()]
+                for own in phrases.value:
+                    counts, new, found = search_shard(texts, own)
+                    spans = [merge(old, more) for old, more in zip(spans, new)]
+                    items = [more.union(old) for old, more in zip(items, found)]
                 kind = batch.schema.field("spans").type
                 yield pa.RecordBatch.from_arrays(
                     [
-                        batch.column(0), batch.column(1), pa.array(counts, pa.int64()), pa.array(items, pa.list_(pa.string())),
+                        batch.column(0), batch.column(1), pa.array(counts, pa.int64()), pa.array(map(sorted, items), pa.list_(pa.string())),
                         pa.array([[{"first": a, "last": b} for a, b in x] for x in spans], kind), *batch.columns[5:],
                     ], names=batch.schema.names,
                 )
 
         out = out.mapInArrow(search, schema)
+        group = list(islice(blocks, GROUP))
     hits = F.aggregate("spans", F.lit(0).cast("long"), lambda total, x: total + x["last"] - x["first"])
-    return out.withColumn("n_hit", hits).withColumn("contaminated", (F.col("n_hit") > 0) & (share * F.col("n_hit") >= F.col("n_words")))
+    out = out.withColumn("n_hit", hits).withColumn("contaminated", (F.col("n_hit") > 0) & (share * F.col("n_hit") >= F.col("n_words")))
+    own = [id_col, text_col, "n_words", "item_ids", "spans", "n_hit", "contaminated"]
+    names = [f"carried_{c}" if c in own else c for c in carry]
+    return out.select(F.col("__id").alias(id_col), F.col("__text").alias(text_col), *own[2:5], *[F.col(x).alias(c) for x, c in zip(extra, names)], *own[5:])
 
 
 def cut_words(text: str | None, spans: list[tuple[int, int]]) -> str | None:
@@ -300,9 +315,12 @@ def cut_words(text: str | None, spans: list[tuple[int, int]]) -> str | None:
 
 
 def remove_spans(found: DataFrame, text_col: str = "text") -> DataFrame:
-    """The rows of :func:`find_contamination` that are not contaminated, their hit ranges cut out of the text."""
-    kept = found.where(~F.col("contaminated"))
-    schema = kept.schema
+    """The rows of :func:`find_contamination` that are not contaminated, their hit ranges cut out of the text.
+
+    Null texts stay null, repeated rows are cut each, an empty table gives no rows, all columns come along.
+    """
+    clean = found.where(~F.col("contaminated"))
+    schema = clean.schema
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -311,4 +329,4 @@ def remove_spans(found: DataFrame, text_col: str = "text") -> DataFrame:
             texts = pa.array(map(cut_words, batch.column(k).to_pylist(), spans), pa.string())
             yield batch.set_column(k, batch.schema.field(k), texts)
 
-    return kept.mapInArrow(cut, schema)
+    return clean.mapInArrow(cut, schema)

@@ -1,4 +1,5 @@
 import hashlib
+import random
 import re
 
 import pytest
@@ -77,3 +78,17 @@ def test_index(n):
         lo, hi = index.search(pattern, np.array([length]))
         found = sorted(index.locate(np.arange(lo[0], hi[0])).tolist())
         assert found == [k for k in range(n) if text[k : k + length].tolist() == pattern[0].tolist()]
+
+
+def test_carried_columns_with_clashing_names_and_many_blocks(spark):
+    rng = random.Random(4)
+    words = [f"w{k}" for k in range(300)]
+    items = [(str(k), " ".join(rng.choices(words, k=rng.randint(3, 30)))) for k in range(30)]
+    docs = [(k, " ".join([*rng.choices(words, k=20), items[k % 30][1], *rng.choices(words, k=20)]), "s", 5, k) for k in range(40)]
+    table = spark.createDataFrame(docs, "doc_id long, text string, spans string, n_words int, other int")
+    bench = spark.createDataFrame(items, "item_id string, text string")
+    whole = d.find_contamination(table, bench, carry=("spans", "n_words", "other")).collect()
+    assert all(r.carried_spans == "s" and r.carried_n_words == 5 and r.other == r.doc_id for r in whole)
+    parts = d.find_contamination(table, bench, block_bytes=200).collect()  # more blocks than a pass takes
+    one = lambda rows: sorted((r.doc_id, r.n_words, r.n_hit, tuple(r.item_ids), r.contaminated) for r in rows)
+    assert one(parts) == one(whole) and sum(r.n_hit > 0 for r in whole) == 40

@@ -1,3 +1,4 @@
+import os
 import zlib
 
 import numpy as np
@@ -7,7 +8,7 @@ from lumenfold.llm import language_id as l
 from lumenfold.llm import toxicity as x
 from lumenfold.llm.queries import op4_language_id, op10_toxicity
 
-SF = "/root/testdata/sf0.1"
+SF, CHECK = "/root/testdata/sf0.1", "/root/testdata/check_s"
 
 
 def test_gradients_of_the_recurrent_layer():
@@ -107,7 +108,7 @@ def test_language_edge_cases(spark):
     assert {r.lang_pred for r in l.identify_language(table, empty).collect()} == {"und"}
 
 
-@pytest.mark.xfail(reason="with the 270 toxic training texts of sf0.1 recall is 0.83; it is 0.994 with 900 (README)")
+@pytest.mark.xfail(reason="with the 305 toxic training texts of sf0.1 recall is 0.944 (136 of 144); with 900 it is 0.99 and more, see the next test")
 def test_toxicity_held_out(spark):
     rows = {r.doc_id: r for r in op10_toxicity(spark, SF).collect()}
     labels = {r.doc_id: r.toxic for r in spark.read.parquet(f"{SF}/labels.parquet").collect()}
@@ -117,6 +118,22 @@ def test_toxicity_held_out(spark):
     assert all(0 <= r.score <= 1 and r.predicted == int(r.score >= 0.7) for r in rows.values())
 
 
+@pytest.mark.skipif(not os.path.isdir(CHECK), reason="needs the larger tables")
+def test_toxicity_by_length(spark):
+    """Recall and false alarms of held-out texts, in every band of length."""
+    docs, labels = spark.read.parquet(f"{CHECK}/documents.parquet"), spark.read.parquet(f"{CHECK}/labels.parquet")
+    model = x.fit_toxicity(docs, labels)
+    held = docs.join(labels, "doc_id").where(x.id_fold("doc_id") == 1).where("toxic in (0, 1) and text is not null").select("text", "toxic").collect()
+    score, toxic = model.score([r.text for r in held]), np.array([r.toxic for r in held]) == 1
+    words, found = np.array([len(r.text.split()) for r in held]), score >= 0.7
+    for low, high in ((0, 50), (50, 200), (200, 1000), (1000, 5000), (5000, 10**9)):
+        band = (words >= low) & (words < high)
+        assert found[band & toxic].mean() > 0.95 and found[band & ~toxic].mean() < 0.03, (low, high)
+    clean = [r.text for r, t in zip(held, toxic) if not t]
+    rng = np.random.default_rng(0)
+    assert (model.score([" ".join(rng.choice(clean, 100)) for _ in range(50)]) >= 0.7).mean() < 0.05  # a hundred clean texts in one
+
+
 def test_toxicity_edge_cases(spark):
     texts = ["you idiot fool", "a quiet day by the sea", "idiots all", "fine weather"]
     docs = [(k, texts[k % 4]) for k in range(80)] + [(None, "idiot"), (200, None), (201, ""), (202, "fine " * 50_000), (5, texts[1])]
