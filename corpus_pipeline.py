@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lumenfold.llm import decontamination, near_dedup, piece_encoding, suffix_dedup, toxicity
-from lumenfold.llm.common import read_table, written
+from lumenfold.llm.common import read_table, small_batches, written
 
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 _OTHERS = ("lang", "source", "n_chars")
@@ -32,6 +32,7 @@ def without_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -
     Rows without an id are in no group and stay, as do documents without words. Rows that repeat an id share its fate; of those that stay
     each different text is kept once, with the least of its other columns. An empty table gives no rows.
     """
+    small_batches(spark)
     docs = docs.select(*COLUMNS)
     judged = written(near_dedup.near_duplicates(docs), "classes").where("doc_id is not null")
     gone = written(judged.where("not kept").select("doc_id").distinct(), "gone")
@@ -50,6 +51,7 @@ def without_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
     A null text stays null; copies lose all of their text, so a text that is left stands once. An empty table gives no rows.
     """
+    small_batches(spark)
     out = suffix_dedup.remove_repeats(docs, carry=_OTHERS)
     return out.select("doc_id", F.col("kept_text").alias("text"), "lang", "source", F.length("kept_text").cast("long").alias("n_chars"))
 
@@ -66,6 +68,7 @@ def without_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 def to_pieces(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Piece ids of each document and the text that they decode to; null and empty texts have none; an empty table gives no rows."""
+    small_batches(spark)
     return piece_encoding.round_trip(docs, with_ids=True).select("doc_id", "n_tokens", "ids", "text")
 
 
