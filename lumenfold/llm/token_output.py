@@ -5,12 +5,12 @@ row group about ``row_group_bytes`` and a page about ``page_bytes``, so column a
 reader fetch the tokens of a few documents, or metadata without any tokens. Token ids are dictionary
 or delta encoded. Everything that the query returns is read back from the files.
 
-Encoding calls the tokenizers library once for each distinct unit that a worker meets. A unit is a
+Encoding shows the tokenizers library each distinct unit that a worker meets once. A unit is a
 line break, or a space and what follows it up to the next space or line break. The pre-tokenizer of a
 byte-level model never joins what stands on both sides of a space or line break between two characters
-that are not white space, nor a letter or digit with a period or comma that ends a unit, so units and
-their stems can be encoded alone; a stem of letters is one pre-token and goes to the library's merge model
-directly. A text with other white space, or with two such characters in a row, goes through the library whole.
+that are not white space, so units can be encoded apart from their text, and many new ones in a row by one
+call: the token that begins with a space (or the line break between units without a space) says where the
+next one starts. A text with other white space, or with two such characters in a row, goes through the library whole.
 """
 
 from __future__ import annotations
@@ -18,7 +18,6 @@ from __future__ import annotations
 import os
 import zlib
 from collections.abc import Iterator
-from functools import lru_cache
 from itertools import chain
 
 import numpy as np
@@ -26,13 +25,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lumenfold.llm.common import shared_path, slices, strings
+from lumenfold.llm.common import kept, shared_path, slices, strings
 
 #: White space that is neither a space nor a line break.
 _OTHER_SPACE = "\t\r\x0b\x0c\x1c\x1d\x1e\x1f\x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000"
 _ASCII_SPACE = [c for c in _OTHER_SPACE if c < "\x80"]
 _CUT = "\0"
-_MEMO_UNITS = 600_000
+_MEMO_UNITS = 300_000
 
 
 def simple(text: str) -> bool:
@@ -61,10 +60,10 @@ class UnitEncoder:
 
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True  # a special token's string in a text is ordinary text
-        # how a byte-level model shows bytes: printable ones as themselves, the rest from U+0100 on
-        plain = [*range(33, 127), *range(161, 173), *range(174, 256)]
-        hidden = [b for b in range(256) if b not in plain]
-        self.shown = {b: chr(256 + k) for k, b in enumerate(hidden)} | {10: "\n"}
+        shown = self.tokenizer.get_vocab()
+        self.spaced = np.zeros(max(shown.values()) + 1, bool)  # tokens that begin with a space
+        self.spaced[[k for x, k in shown.items() if x[0] == "\u0120"]] = True
+        self.line = shown["\u010a"]
         self.reset()
 
     def reset(self) -> None:
@@ -72,31 +71,27 @@ class UnitEncoder:
         self.starts = np.zeros(2, np.int64)
         self.ids = np.zeros(0, np.int32)
 
-    def _stems(self, stems: list[str]) -> dict[str, list[int]]:
-        letters = [u for u in stems if u[1:].isalpha() and (u[0] == " " or u[0].isalpha())]
-        joined = "\n".join(letters)
-        if not joined.isascii():  # letters that are older than any table of letters in use
-            letters = [u for u in letters if max(u) < "\u0250"]
-            joined = "\n".join(letters)
-        shown = joined.encode().decode("latin-1").translate(self.shown).split("\n") if letters else []
-        tokenize = self.tokenizer.model.tokenize
-        out = {u: [x.id for x in tokenize(b)] for u, b in zip(letters, shown)}
-        rest = [u for u in stems if u not in out]
-        out.update(zip(rest, [x.ids for x in self.tokenizer.encode_batch_fast(rest, add_special_tokens=False)]))
-        return out
+    def _together(self, text: str) -> np.ndarray:
+        return np.array(self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids, np.int32)
 
     def _learn(self, new: list[str]) -> None:
-        cut = [u[:-1] if u[-1] in ".," and u[-2:-1].isalnum() else u for u in new]
-        known = self._stems(list({*cut, ".", ","}.difference(self.units)))
-        for u in {*cut, ".", ","}.intersection(self.units):
-            k = self.units[u]
-            known[u] = self.ids[self.starts[k] : self.starts[k + 1]].tolist()
-        found = [known[u] if len(c) == len(u) else known[c] + known[u[-1]] for u, c in zip(new, cut)]
-        sizes = np.fromiter(map(len, found), np.int64, len(found))
-        ids = np.fromiter(chain.from_iterable(found), np.int32, int(sizes.sum()))
-        self.units.update(zip(new, range(len(self.units), len(self.units) + len(new))))
-        self.starts = np.concatenate([self.starts, self.starts[-1] + np.cumsum(sizes)])
-        self.ids = np.concatenate([self.ids, ids])
+        spaced, plain = [u for u in new if u[0] == " "], [u for u in new if u[0] != " " and u != "\n"]
+        ids = self._together("".join(spaced)) if spaced else self.ids[:0]
+        sizes = np.diff(np.append(np.flatnonzero(self.spaced[ids]), len(ids)))
+        if plain:
+            more = self._together("\n".join(plain))
+            line = more == self.line
+            sizes = np.append(sizes, np.diff(np.concatenate([[-1], np.flatnonzero(line), [len(more)]])) - 1)
+            ids = np.append(ids, more[~line])
+        known = [*spaced, *plain]
+        if len(known) < len(new):
+            known.append("\n")
+            sizes, ids = np.append(sizes, 1), np.append(ids, np.int32(self.line))
+        if len(sizes) != len(known):
+            raise ValueError("this tokenizer does not cut at spaces and line breaks")
+        self.units.update(zip(known, range(len(self.units), len(self.units) + len(known))))
+        self.starts = np.append(self.starts, self.starts[-1] + np.cumsum(sizes))
+        self.ids = np.append(self.ids, ids)
 
     def encode(self, texts: list[str]) -> list[np.ndarray]:
         if len(self.units) > _MEMO_UNITS:
@@ -116,10 +111,9 @@ class UnitEncoder:
         return [flat[a:b] if x is not None else np.array(next(whole), np.int32) for x, a, b in zip(split, edges, edges[1:])]
 
 
-@lru_cache(maxsize=2)
 def encoder(path: str) -> UnitEncoder:
     """The encoder of a tokenizer file; a Python worker keeps it from task to task."""
-    return UnitEncoder(path)
+    return kept(("units", path), lambda: UnitEncoder(path))
 
 
 def _lists(ids: list[np.ndarray]) -> pa.ListArray:
@@ -127,6 +121,12 @@ def _lists(ids: list[np.ndarray]) -> pa.ListArray:
     return pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate([*ids, np.zeros(0, np.int32)]), pa.int32()))
 
 
+def _plan_bytes(docs: DataFrame) -> int:
+    """Size of the input as the planner knows it, from file sizes; 0 if it does not know."""
+    size = int(str(docs._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    return size if size < 1 << 60 else 0
+
+
 def write_tokens(
     docs: DataFrame,
     path: str,
@@ -138,20 +138,22 @@ def write_tokens(
     encoding: str = "dictionary",
     row_group_bytes: int = 16 << 20,
     page_bytes: int = 256 << 10,
-    chunk: int = 2_000_000,
+    file_bytes: int = 256 << 20,
+    chunk: int = 1_000_000,
 ) -> None:
     """Write ``id_col``, first, n_tokens and ids (list of int) to Parquet under ``path`` in ascending order of the id.
 
     ``first`` counts the ids that stand before a document's in its file.
     Every text (null: empty) ends with ``end_id``. Null ids come first; rows of the same id stay
-    together, ordered by their text. ``encoding`` is ``dictionary`` or ``delta``.
+    together, ordered by their text. ``encoding`` is ``dictionary`` or ``delta``. There are as many files as the
+    session has shuffle partitions, or more where one would take over ``file_bytes`` of the input.
     An empty table writes files without rows.
     """
     tokenizer = tokenizer or tokenizer_path()
     if encoding not in ("dictionary", "delta"):
         raise ValueError(f"encoding {encoding!r} is neither dictionary nor delta")
     some = docs.select(F.col(id_col), F.coalesce(F.col(text_col), F.lit("")).alias("__text"))
-    parts = files or int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    parts = files or max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), _plan_bytes(docs) // file_bytes + 1)
     dealt = some.repartitionByRange(parts, id_col).sortWithinPartitions(id_col, "__text")
     schema = some.select(id_col, F.lit(0).cast("long").alias("first"), F.lit(0).cast("long").alias("n_tokens"), F.array().cast("array<int>").alias("ids")).schema
 
@@ -200,6 +202,20 @@ def read_tokens(spark: SparkSession, path: str, id_col: str = "doc_id") -> DataF
     return joined.select(id_col, (F.col("__begin") + F.col("first")).alias("start"), "n_tokens", "ids_crc32")
 
 
+def select_tokens(spark: SparkSession, path: str, first: int, last: int, id_col: str = "doc_id") -> DataFrame:
+    """id, n_tokens and ids of the documents whose id is from ``first`` to ``last``.
+
+    The bounds reach the scan: files, row groups and pages of other ids are not read. Rows of a repeated id all come,
+    rows without an id never do.
+    """
+    return spark.read.parquet(path).where(F.col(id_col).between(first, last)).select(id_col, "n_tokens", "ids")
+
+
+def token_counts(spark: SparkSession, path: str, id_col: str = "doc_id") -> DataFrame:
+    """id and n_tokens of all documents; the column of token ids is not read."""
+    return spark.read.parquet(path).select(id_col, "n_tokens")
+
+
 def token_output(docs: DataFrame, id_col: str = "doc_id", **options: object) -> DataFrame:
     """Write ``docs`` to the shared folder and return what the files say: id, start, n_tokens, ids_crc32."""
     path = shared_path(docs.sparkSession, "tokens")
