@@ -248,7 +248,7 @@ def find_contamination(
     item_text_col: str = "text",
     window: int = 13,
     share: int = 20,
-    shard_bytes: int = 12_000_000,
+    shard_bytes: int = 6_000_000,
     block_bytes: int = 8_000_000,
     carry: tuple[str, ...] = (),
 ) -> DataFrame:

@@ -37,7 +37,7 @@ from lumenfold.llm.common import kept, slices, strings
 MARK = "▁"
 _UNIT = re.compile(" +[^ ]*")
 #: Words and pairs of pieces that a worker remembers; some 200 and 100 bytes each.
-_MEMO_WORDS, _MEMO_PAIRS = 200_000, 300_000
+_MEMO_WORDS, _MEMO_PAIRS = 120_000, 200_000
 
 
 def model_path() -> str:

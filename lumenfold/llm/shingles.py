@@ -24,7 +24,7 @@ BYTES = mix(np.arange(1, 257, dtype=np.uint64) * _M3)
 def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     """Powers 0 to n of the base and of its inverse, modulo 2**64."""
     if len(_powers[0]) <= n:
-        size = max(n + 1, 1 << 16)
+        size = max(n + 1, 1 << 19)
         for k, base in enumerate((_BASE, _INVERSE)):
             x = np.full(size, base, np.uint64)
             x[0] = 1

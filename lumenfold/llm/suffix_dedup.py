@@ -322,7 +322,7 @@ def _sized(df: DataFrame, size: F.Column) -> int:
     return df.agg(F.sum(size)).collect()[0][0] or 0
 
 
-def find_repeats(docs: DataFrame, text_col: str = "text", length: int = 400, chunk: int = 1_000_000) -> DataFrame:
+def find_repeats(docs: DataFrame, text_col: str = "text", length: int = 400, chunk: int = 400_000) -> DataFrame:
     """What goes of each distinct text: t (its md5), whole (all of it), blocks and runs.
 
     ``blocks`` are least and largest starts of repeated strings of ``length`` bytes, ``runs`` anchors where a repeated run
@@ -412,7 +412,7 @@ def removed_ranges(size: int, places: np.ndarray, whole: bool, blocks: list[dict
     return merge_ranges(ranges)
 
 
-def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = 400, chunk: int = 1_000_000, carry: tuple[str, ...] = ()) -> DataFrame:
+def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = 400, chunk: int = 400_000, carry: tuple[str, ...] = ()) -> DataFrame:
     """One row for each row of ``docs``: id, text, kept_text, n_bytes, n_removed, n_spans, kept_sha256, and the columns to ``carry``.
 
     Texts are UTF-8 bytes, null is empty; matches never cross documents; a byte goes if any string of

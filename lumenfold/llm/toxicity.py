@@ -30,7 +30,7 @@ from lumenfold.llm.common import held_out, id_fold, kept, least_ids, slices, str
 
 _LETTERS = bytes(c if 97 <= c <= 122 or c >= 128 else c + 32 if 65 <= c <= 90 else 32 for c in range(256))
 #: Words that a worker remembers, some 170 bytes each.
-_MEMO_WORDS = 200_000
+_MEMO_WORDS = 120_000
 
 
 def words_of(text: str) -> list[bytes]:
