@@ -41,7 +41,8 @@ def test_suffix_query_against_brute_force(spark):
 @pytest.mark.parametrize("broadcast", [True, False])
 def test_suffix_edge_cases(spark, broadcast, monkeypatch):
     if not broadcast:
-        monkeypatch.setattr(s, "BROADCAST_ROWS", -1)
+        monkeypatch.setattr(s, "BROADCAST_BYTES", -1)
+        monkeypatch.setattr(s, "HOT", 2)
     rng = random.Random(8)
     noise = lambda k: "".join(rng.choices("abcdefgh é", k=k))
     shared = noise(900)
@@ -117,12 +118,15 @@ def test_near_query_against_brute_force(spark):
     assert any(not r[3] for r in got)
 
 
-@pytest.mark.parametrize("broadcast", [True, False])
-def test_near_edge_cases(spark, broadcast, monkeypatch):
+@pytest.mark.parametrize("broadcast, rounds, wide", [(True, 4, 512), (False, 1, 512), (True, 0, 40)])
+def test_near_edge_cases(spark, broadcast, rounds, wide, monkeypatch):
     if not broadcast:
-        monkeypatch.setattr(n, "BROADCAST_ROWS", -1)
+        monkeypatch.setattr(n, "BROADCAST_BYTES", -1)
+    monkeypatch.setattr(n, "ROUNDS", rounds)
+    monkeypatch.setattr(n, "WIDE", wide)
     monkeypatch.setattr(n, "COMMON", 4)
     monkeypatch.setattr(n, "BLOCK", 5)
+    monkeypatch.setattr(n, "CHUNK", 2)
     rng = random.Random(3)
     words = [f"w{k}" for k in range(4000)]
     passage = rng.choices(words, k=80)
