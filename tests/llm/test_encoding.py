@@ -57,6 +57,30 @@ def test_token_edge_cases(spark, tmp_path, encoding):
         t.write_tokens(table, str(tmp_path / "x"), encoding="plain")
 
 
+def test_selective_reads(spark, tmp_path):
+    table = spark.range(4000).selectExpr("id AS doc_id", "repeat(concat('word', id, ' '), 40) AS text")
+    t.write_tokens(table, str(tmp_path / "t"), files=4, row_group_bytes=8 << 10, page_bytes=4 << 10)
+    some = t.select_tokens(spark, str(tmp_path / "t"), 100, 120)
+    got = {r.doc_id: len(r.ids) for r in some.collect()}
+    assert sorted(got) == list(range(100, 121)) and got == {r.doc_id: r.n_tokens for r in some.collect()}
+    # the bounds reach the scan: files, row groups and pages of other ids are passed over
+    assert "PushedFilters: [IsNotNull(doc_id), GreaterThanOrEqual(doc_id,100), LessThanOrEqual(doc_id,120)]" in some._jdf.queryExecution().toString()
+    import pyarrow.parquet as pq
+
+    groups = [pq.ParquetFile(f).metadata.row_group(g) for f in (tmp_path / "t").glob("*.parquet") for g in range(pq.ParquetFile(f).metadata.num_row_groups)]
+    assert len(groups) > 8  # small groups, so that there is something to pass over
+    hit = [g for g in groups if g.column(0).statistics.min <= 120 and g.column(0).statistics.max >= 100]
+    assert 1 <= len(hit) <= 2
+    counts = t.token_counts(spark, str(tmp_path / "t"))
+    assert counts.count() == 4000 and "ids" not in counts._jdf.queryExecution().executedPlan().toString().split("ReadSchema")[1]
+
+
+def test_files_follow_the_input_size(spark, tmp_path):
+    table = spark.read.parquet(f"{SF}/documents.parquet")
+    t.write_tokens(table, str(tmp_path / "t"), file_bytes=200_000)
+    assert len(list((tmp_path / "t").glob("*.parquet"))) > int(spark.conf.get("spark.sql.shuffle.partitions"))
+
+
 def test_chat_query_against_brute_force(spark):
     said = "</s>[INST] ok [/INST]"
     rows = [tuple(r) for r in spark.read.parquet(f"{SF}/conversations.parquet").select("conv_id", "turn", "role", "text").collect()]
@@ -78,14 +102,38 @@ def test_chat_escape_and_mask(spark):
     for conv in range(40):
         for turn in range(3):
             rows.append((conv, turn, random.choice(["user", "assistant", "a\\n\nb", None]), random.choice([None, "".join(random.choices(parts, k=8))])))
-    rows += [(None, None, "assistant", "lost"), (5, 1, "assistant", "again"), (99, 0, "assistant", "long " * 30_000)]
+    rows += [(None, None, "assistant", "lost"), (None, 0, "user", "lost too"), (5, 1, "assistant", "again"), (99, 0, "assistant", "long " * 30_000)]
     table = spark.createDataFrame([(*r, "x") for r in rows], "conv_id long, turn long, role string, text string, formatted string")
-    got = {r.conv_id: r for r in c.chat_format(table).collect()}
+    all_of = c.chat_format(table).collect()
+    assert sorted(r.turns[0].text for r in all_of if r.conv_id is None) == ["lost", "lost too"]  # a conversation each
+    got = {r.conv_id: r for r in all_of if r.conv_id is not None}
     for conv, r in got.items():
         turns = sorted(((-1 if a[1] is None else a[1], a[2] or "", a[3] or "") for a in rows if a[0] == conv))
         assert [(x.role, x.text) for x in r.turns] == [(b, d) for _, b, d in turns]
         assert r.loss_text == "".join(d for _, b, d in turns if b == "assistant")
-    assert len(got) == 42 and c.chat_format(table.limit(0)).count() == 0
+    assert len(got) == 41 and c.chat_format(table.limit(0)).count() == 0
+
+
+def test_offsets_equal_the_library():
+    from tokenizers import Tokenizer
+    from tokenizers.processors import ByteLevel
+
+    own, lib = c.OffsetEncoder(t.tokenizer_path()), Tokenizer.from_file(t.tokenizer_path())
+    lib.encode_special_tokens, lib.post_processor = True, ByteLevel(trim_offsets=False)
+    random.seed(6)
+    parts = [*"abc xyz\n", "é", "😀", "執", "the ", "  ", "[INST]", "</s>"]
+    texts = ["".join(random.choices(parts, k=random.randint(0, 30))) for _ in range(500)]
+    for (ids, starts, ends), x in zip(own.encode(texts), lib.encode_batch(texts, add_special_tokens=False)):
+        assert ids.tolist() == x.ids and list(zip(starts.tolist(), ends.tolist())) == x.offsets
+
+
+def test_escape_undone(spark):
+    random.seed(7)
+    parts = [*c.CONTROL, "<", "|", "\\", "/", "x", "[", "s>"]
+    for _ in range(2000):
+        text = "".join(random.choices(parts, k=random.randint(0, 10)))
+        shown = c.escape(text)
+        assert c.unescape(shown) == text and not any(x in shown for x in c.CONTROL)
 
 
 def test_masks_cover_tokens(spark):
@@ -122,6 +170,32 @@ def test_pieces_against_the_library_on_odd_texts(spark):
     assert p.encode_pieces(table.limit(0)).count() == 0
 
 
+def test_a_million_spaces():
+    import sentencepiece
+
+    own, lib = p.PieceEncoder(p.model_path()), sentencepiece.SentencePieceProcessor(model_file=p.model_path())
+    for text in (" " * 1_000_000, "a" + " " * 1_000_001 + "b", "x" * 200_000):
+        assert own.encode([text])[0].tolist() == lib.encode(text)
+
+
+def test_pairs_as_merging_leaves_them():
+    own = p.PieceEncoder(p.model_path())
+    random.seed(9)
+    some = [k for k, x in own.pieces.items() if p.MARK not in x[1:] and own.merged_alone(k)]
+    inner = [k for k in some if own.pieces[k][0] != p.MARK]
+    for _ in range(20_000):
+        a, b = random.choice(some), random.choice(inner)
+        assert own._pair(a, b) == (own.merged(own.pieces[a] + own.pieces[b]) == [own.pieces[a], own.pieces[b]])
+
+
+def test_round_trip_is_encoding_and_decoding(spark):
+    rows = [(1, None), (None, "a  b"), (2, ""), (1, "word " * 4_000), (3, "é執😀")]
+    table = spark.createDataFrame([(*r, 1, "x") for r in rows], "doc_id long, text string, ids int, n_tokens string")
+    key = lambda r: str(tuple(r))
+    assert sorted(p.round_trip(table, with_ids=True).collect(), key=key) == sorted(p.decode_pieces(p.encode_pieces(table), with_ids=True).collect(), key=key)
+    assert p.round_trip(table.limit(0)).count() == 0
+
+
 def test_unigram_viterbi_against_all_segmentations():
     own = p.PieceEncoder(p.model_path(), unigram=True)
 
