@@ -5,7 +5,7 @@ All of them are small results of aggregations; what is unknown stays null and is
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lumenfold.functions.scoring import alpha_verdict, category, correlation_verdict
@@ -70,12 +70,10 @@ def provider_comparison(scores: DataFrame, costs: DataFrame, keys: list[str], pr
 def placed(report: DataFrame, value: str) -> DataFrame:
     """``place`` in descending order of a value, ties sharing one and nulls last, and ``top``: whether it shares the first.
 
-    Counted by a join with the report's own rows, one for each provider or label.
+    Ranked by a window over the report, one row for each provider or label, so that each value is computed once: a mean that
+    is computed twice may differ from itself in its last bit.
     """
-    others = F.broadcast(report.select(F.col(value).alias("__other")))
-    better = report.join(others, F.col("__other") > F.coalesce(F.col(value), F.lit(float("-inf"))), "left")
-    names = report.columns
-    out = better.groupBy(*names).agg((F.count("__other") + 1).alias("place"))
+    out = report.withColumn("place", F.rank().over(Window.orderBy(F.col(value).desc_nulls_last())).cast("long"))
     return out.withColumn("top", (F.col("place") == 1) & F.col(value).isNotNull())
 
 

@@ -47,6 +47,16 @@ def test_places_share_ties(spark):
     assert got == {"a": (1, True), "b": (1, True), "c": (3, False), "d": (4, False)}
 
 
+def test_places_read_each_value_once(spark):
+    import random
+
+    from pyspark.sql import functions as F
+
+    noisy = F.udf(lambda k: k + random.random() * 1e-9, "double").asNondeterministic()  # as sums of doubles in another order
+    report = spark.range(12).select("id", noisy("id").alias("v"))
+    assert {x.id: (x.place, x.top) for x in r.placed(report, "v").collect()} == {k: (12 - k, k == 11) for k in range(12)}
+
+
 def test_limit_counts_papers_with_a_text(spark):
     papers = spark.createDataFrame([(1, 1, "x"), (2, 2, ""), (3, 3, None), (None, 0, "x")], "doi int, seq int, label string")
     manifest = spark.createDataFrame([(2, "m")], "doi int, label string")
