@@ -57,6 +57,19 @@ def test_places_read_each_value_once(spark):
     assert {x.id: (x.place, x.top) for x in r.placed(report, "v").collect()} == {k: (12 - k, k == 11) for k in range(12)}
 
 
+def test_leaderboard_has_the_places_of_its_means(spark):
+    import random
+
+    from pyspark.sql import functions as F
+
+    noisy = F.udf(lambda k: k + random.random() * 1e-9, "double").asNondeterministic()
+    compared = r.placed(spark.range(12).select(F.col("id").alias("provider"), noisy("id").alias("v")), "v")
+    reliable = spark.createDataFrame([(3, 0.5, "weak")], "provider long, alpha double, verdict string")
+    human = spark.createDataFrame([(4, 7, 0.5)], "provider long, n long, spearman double")
+    got = {x.provider: (x.place, x.top, x.alpha, x.n_human) for x in r.leaderboard(compared, reliable, human).collect()}
+    assert got == {k: (12 - k, k == 11, 0.5 if k == 3 else None, 7 if k == 4 else 0) for k in range(12)}
+
+
 def test_limit_counts_papers_with_a_text(spark):
     papers = spark.createDataFrame([(1, 1, "x"), (2, 2, ""), (3, 3, None), (None, 0, "x")], "doi int, seq int, label string")
     manifest = spark.createDataFrame([(2, "m")], "doi int, label string")
