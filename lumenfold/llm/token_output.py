@@ -18,7 +18,7 @@ from __future__ import annotations
 import os
 import zlib
 from collections.abc import Iterator
-from itertools import chain
+from itertools import chain, repeat
 
 import numpy as np
 import pyarrow as pa
@@ -70,6 +70,20 @@ class UnitEncoder:
         self.units: dict[str, int] = {"": 0}
         self.starts = np.zeros(2, np.int64)
         self.ids = np.zeros(0, np.int32)
+        self.seen = np.zeros(1, np.int64)  # how often each unit stood in a text
+
+    def forget(self) -> None:
+        """Keep of the units those that were seen more than once, the most common ones and half of what the memo holds at most."""
+        often = np.sort(self.seen)[-(_MEMO_UNITS // 2) :]
+        keep = np.flatnonzero(self.seen > max(1, int(often[0])))
+        keep = np.append(0, keep[keep > 0])
+        names = list(self.units)
+        size = np.diff(self.starts)[keep]
+        ends = np.cumsum(size)
+        self.ids = self.ids[np.repeat(self.starts[keep] - ends + size, size) + np.arange(ends[-1])]
+        self.starts = np.append(0, ends)
+        self.seen = self.seen[keep] // 2
+        self.units = {names[k]: j for j, k in enumerate(keep.tolist())}
 
     def _together(self, text: str) -> np.ndarray:
         return np.array(self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids, np.int32)
@@ -92,16 +106,21 @@ class UnitEncoder:
         self.units.update(zip(known, range(len(self.units), len(self.units) + len(known))))
         self.starts = np.append(self.starts, self.starts[-1] + np.cumsum(sizes))
         self.ids = np.append(self.ids, ids)
+        self.seen = np.append(self.seen, np.zeros(len(known), np.int64))
 
     def encode(self, texts: list[str]) -> list[np.ndarray]:
         if len(self.units) > _MEMO_UNITS:
-            self.reset()
+            self.forget()
         split = [units_of(t) if simple(t) else None for t in texts]
-        new = list(set(chain.from_iterable(x for x in split if x)).difference(self.units))
-        if new:
-            self._learn(new)
         counts = [len(x) if x else 0 for x in split]
-        at = np.fromiter(map(self.units.__getitem__, chain.from_iterable(x for x in split if x)), np.int64, sum(counts))
+        shown = list(chain.from_iterable(x for x in split if x))
+        at = np.fromiter(map(self.units.get, shown, repeat(-1)), np.int64, len(shown))
+        new = np.flatnonzero(at < 0)
+        if len(new):
+            words = [shown[k] for k in new.tolist()]
+            self._learn(list(dict.fromkeys(words)))
+            at[new] = np.fromiter(map(self.units.__getitem__, words), np.int64, len(words))
+        self.seen += np.bincount(at, minlength=len(self.seen))
         start = self.starts[at]
         size = self.starts[at + 1] - start
         ends = np.cumsum(size)

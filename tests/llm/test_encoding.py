@@ -35,6 +35,19 @@ def test_units_equal_whole_texts():
         assert own.encode([text])[0].tolist() == own.tokenizer.encode(text, add_special_tokens=False).ids, repr(text)
 
 
+def test_full_memo_keeps_common_units(monkeypatch):
+    monkeypatch.setattr(t, "_MEMO_UNITS", 60)
+    own, rng = t.UnitEncoder(t.tokenizer_path()), random.Random(4)
+    learned = []
+    learn = own._learn
+    monkeypatch.setattr(own, "_learn", lambda new: learned.extend(new) or learn(new))
+    for _ in range(30):
+        texts = ["the cat\nsat on the mat " + " ".join("".join(rng.choices("abcdé", k=7)) for _ in range(20)) for _ in range(2)]
+        assert [x.tolist() for x in own.encode(texts)] == [own.tokenizer.encode(x, add_special_tokens=False).ids for x in texts]
+        assert len(own.units) <= 60 + 50
+    assert all(learned.count(u) == 1 for u in ("the", " cat", "\n", " mat"))
+
+
 @pytest.mark.parametrize("encoding", ["dictionary", "delta"])
 def test_token_edge_cases(spark, tmp_path, encoding):
     import pyarrow.parquet as pq
