@@ -1,7 +1,8 @@
 """Running totals of groups of any size: blocks of a range each, and what stands before a block.
 
-A window over a group is one task. Here a group is cut at approximate quantiles of its order into blocks, a
-window holds one block, and the totals of the blocks before it (one row a block) are added.
+A window over a group is one task. Here a group is cut at quantiles of a sample of its order into blocks, a
+window holds one block, and the totals of the blocks before it (one row a block) are added. Rows and totals are two readings of
+the cuts, which may be computed twice: they must not depend on the order in which rows arrive, as merged quantile sketches do.
 """
 
 from __future__ import annotations
@@ -10,6 +11,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 BLOCKS = 64
+#: Distinct values of a group that are drawn for each block's cut.
+DRAWN = 64
 _FIRST = Window.unboundedPreceding
 
 
@@ -25,9 +28,17 @@ def null_safe_join(left: DataFrame, right: DataFrame, keys: list[str]) -> DataFr
 def in_blocks(df: DataFrame, by: list[str], order: str) -> DataFrame:
     """``df`` with __block: rows of a later block of a group come after those of an earlier one, equal ones share it.
 
-    ``order`` must be a number or a time; nulls are in the first block.
+    ``order`` must be a number or a time; nulls are in the first block. Values are drawn by their hash at a rate that follows from
+    the group's number of distinct ones, and weigh as their rows do.
     """
-    cuts = df.groupBy(*by).agg(F.percentile_approx(order, [k / BLOCKS for k in range(1, BLOCKS)], 1000).alias("__cuts"))
+    sizes = df.groupBy(*by).agg(F.approx_count_distinct(order).alias("__distinct"))
+    number = F.pmod(F.xxhash64(order), F.lit(1 << 40)).cast("double")
+    drawn = null_safe_join(df.select(*by, order), sizes, by).where(F.col(order).isNotNull() & (number * F.col("__distinct") <= float(DRAWN * BLOCKS << 40)))
+    drawn = drawn.groupBy(*by, order).agg(F.count("*").alias("__m"))
+    group = Window.partitionBy(*by)
+    before = F.sum("__m").over(group.orderBy(order)) - F.col("__m")
+    share = drawn.select(*by, order, F.floor(before * BLOCKS / F.sum("__m").over(group)).alias("__share"))
+    cuts = share.groupBy(*by, "__share").agg(F.max(order).alias("__cut")).groupBy(*by).agg(F.array_sort(F.collect_list("__cut")).alias("__cuts"))
     place = F.size(F.filter("__cuts", lambda c: c < F.col(order)))
     return null_safe_join(df, cuts, by).withColumn("__block", F.when(F.col(order).isNull() | F.col("__cuts").isNull(), 0).otherwise(place)).drop("__cuts")
 

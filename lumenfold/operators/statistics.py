@@ -78,22 +78,24 @@ def correlation(rows: DataFrame, by: list[str], x: str, y: str) -> DataFrame:
     return pairs.groupBy(*by).agg(F.count("*").alias("n"), r.alias("r"))
 
 
-def average_rank(df: DataFrame, by: list[str], value: str, name: str) -> DataFrame:
-    """Ranks from 1, ties averaged; ``value`` is a number.
-
-    Counts of distinct values are ranked, not rows, in blocks of a range of values each, and joined back.
-    """
+def _ranks(df: DataFrame, by: list[str], value: str, name: str) -> DataFrame:
+    """Each distinct value of a group with its rank: counts of them are ranked, not rows, in blocks of a range of values each."""
     counts = in_blocks(df.groupBy(*by, value).agg(F.count("*").alias("__m")), by, value)
     counts = with_totals_before(counts, by, __before=F.col("__m"))
     within = block_window(by, [F.col(value)]).rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    place = (F.col("__before") + F.sum("__m").over(within) - (F.col("__m") - 1) / 2).alias(name)
-    return null_safe_join(df, counts.select(*by, value, place), [*by, value]).select(*df.columns, name)
+    return counts.select(*by, value, (F.col("__before") + F.sum("__m").over(within) - (F.col("__m") - 1) / 2).alias(name))
+
+
+def average_rank(df: DataFrame, by: list[str], value: str, name: str) -> DataFrame:
+    """Ranks from 1, ties averaged; ``value`` is a number. Distinct values are ranked and joined back."""
+    return null_safe_join(df, _ranks(df, by, value, name), [*by, value]).select(*df.columns, name)
 
 
 def rank_correlation(rows: DataFrame, by: list[str], x: str, y: str) -> DataFrame:
     """Spearman's rho: Pearson's r of average ranks."""
     pairs = rows.where(F.col(x).isNotNull() & F.col(y).isNotNull()).select(*by, x, y)
-    ranked = average_rank(average_rank(pairs, by, x, "__rx"), by, y, "__ry")
+    ranked = null_safe_join(pairs, _ranks(pairs, by, x, "__rx"), [*by, x])
+    ranked = null_safe_join(ranked, _ranks(pairs, by, y, "__ry"), [*by, y])
     return correlation(ranked, by, "__rx", "__ry").withColumnRenamed("r", "rho")
 
 

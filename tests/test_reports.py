@@ -104,6 +104,20 @@ def test_guard_and_repair(spark):
     assert "Results\n- a\n- b\n- c\n- d\n- e\n\nLimitations\nNot reported" in row.shown
 
 
+def test_blocks_do_not_depend_on_the_order_of_rows(spark):
+    from pyspark.sql import functions as F
+
+    from lumenfold.operators import prefix
+
+    rows = spark.range(100_000).select((F.col("id") % 2).alias("g"), (F.xxhash64("id") / 1e12).alias("v"))
+    one = prefix.in_blocks(rows.repartition(3, "v"), ["g"], "v")
+    two = prefix.in_blocks(rows.repartition(8, "v").sortWithinPartitions("v"), ["g"], "v")
+    blocks = lambda df: {(x.g, x["__block"]): (x.n, x.low) for x in df.groupBy("g", F.col("__block")).agg(F.count("*").alias("n"), F.min("v").alias("low")).collect()}
+    got = blocks(one)
+    assert got == blocks(two) and len(got) >= prefix.BLOCKS
+    assert max(n for n, _ in got.values()) < 3 * 50_000 / prefix.BLOCKS
+
+
 def test_running_totals_across_blocks(spark, monkeypatch):
     from lumenfold.operators import prefix
 
