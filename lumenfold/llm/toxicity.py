@@ -16,6 +16,7 @@ splits a text, looks each word up and averages. Training reads a bounded sample
 
 from __future__ import annotations
 
+import gc
 import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -26,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lumenfold.llm.common import held_out, id_fold, kept, least_ids, slices, strings
+from lumenfold.llm.common import held_out, id_fold, kept, least_ids, slices, strings, tidy
 
 _LETTERS = bytes(c if 97 <= c <= 122 or c >= 128 else c + 32 if 65 <= c <= 90 else 32 for c in range(256))
 #: Words that a worker remembers, some 170 bytes each.
@@ -102,9 +103,10 @@ def train(
         share = float(np.mean(labels)) if labels else 0.0
         share = min(max(share, 1e-3), 1 - 1e-3)
         return ToxicityModel("none", np.zeros(1), float(np.log(share / (1 - share))), low, high, passage)
-    bags = [grams(w, low, high, buckets) for w in vocabulary]
+    bags = [np.array(grams(w, low, high, buckets), np.int32) for w in vocabulary]
     size = np.array([len(x) for x in bags])
-    gram = np.fromiter(chain.from_iterable(bags), np.int64, size.sum())
+    gram = np.concatenate(bags).astype(np.int64)
+    del bags, vocabulary
     used, gram = np.unique(gram, return_inverse=True)
     gram_start = np.cumsum(size) - size
     lengths = np.array([len(x) for x in docs])
@@ -178,7 +180,10 @@ def training_rows(
 
 
 def fit_toxicity(docs: DataFrame, labels: DataFrame, each: int = 900, longest: int = 40_000, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", **options: object) -> ToxicityModel:
-    return train(*training_rows(docs, labels, each, longest, id_col, text_col, label_col), **options)
+    model = train(*training_rows(docs, labels, each, longest, id_col, text_col, label_col), **options)
+    gc.collect()
+    tidy()  # what training took is not needed again, and a driver that goes on would keep it
+    return model
 
 
 def score_toxicity(docs: DataFrame, model: ToxicityModel, id_col: str = "doc_id", text_col: str = "text", threshold: float = 0.7, chunk: int = 1_000_000) -> DataFrame:

@@ -152,3 +152,11 @@ def test_toxicity_edge_cases(spark):
     assert x.score_toxicity(table.limit(0), model).count() == 0
     none = x.fit_toxicity(table, labels.limit(0))
     assert {r.predicted for r in x.score_toxicity(table, none).collect()} == {0}
+
+
+def test_the_driver_gives_back_what_training_took(spark, monkeypatch):
+    done = []
+    monkeypatch.setattr(x, "train", lambda texts, labels: done.append("train") or x.ToxicityModel("none", np.zeros(1), 0.0))
+    monkeypatch.setattr(x, "tidy", lambda: done.append("tidy"), raising=False)
+    docs, labels = spark.createDataFrame([(1, "a b c")], "doc_id long, text string"), spark.createDataFrame([(1, 1)], "doc_id long, toxic int")
+    assert x.fit_toxicity(docs, labels).key == "none" and done == ["train", "tidy"]
